@@ -11,6 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: list[str] = []
+_OWN_CODE: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,15 +28,15 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         if not _OWN:
             _OWN.append(tempfile.mkdtemp(prefix="tripleflow-"))
-            atexit.register(_forget)
         found = f"file://{_OWN[0]}"
     return found.rstrip("/")
 
 
+@atexit.register
 def _forget() -> None:
     import shutil
 
-    for path in _OWN:
+    for path in _OWN + _OWN_CODE:
         shutil.rmtree(path, ignore_errors=True)
 
 
@@ -78,3 +79,21 @@ def bytes_of(spark: SparkSession, path: str) -> int:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(where).getLength()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once per application, so that their Python finds it wherever the driver was started."""
+    import pathlib
+    import zipfile
+
+    context = spark.sparkContext
+    if getattr(context, "_tripleflow_shipped", False):
+        return
+    here = pathlib.Path(__file__).parent
+    folder = tempfile.mkdtemp(prefix="tripleflow-code-")
+    _OWN_CODE.append(folder)
+    with zipfile.ZipFile(target := f"{folder}/tripleflow_code.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(here.rglob("*.py")):
+            z.write(p, f"{here.name}/{p.relative_to(here)}")
+    context.addPyFile(target)
+    context._tripleflow_shipped = True
