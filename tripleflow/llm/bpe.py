@@ -191,13 +191,18 @@ def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folder:
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string")).mapInArrow(run, "doc_id long, ids array<int>")
 
 
-def token_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folder: str = TOKENIZERS) -> DataFrame:
-    """``(doc_id, n_tokens)``, by the same queries."""
+def token_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folder: str = TOKENIZERS, keep: str | None = None) -> DataFrame:
+    """``(doc_id, n_tokens)``, by the same queries, with the string column ``keep`` between them if it is given."""
     path = f"{folder}/{VOCABULARY}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, texts in _batched(batches):
-            ids = encoder(path).encode(texts)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), ids.value_lengths().cast(pa.int64())], ["doc_id", "n_tokens"])
-
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string")).mapInArrow(run, "doc_id long, n_tokens long")
+        for batch in batches:
+            at = 0
+            for keys, texts in _batched(iter([batch])):
+                n = encoder(path).encode(texts).value_lengths().cast(pa.int64())
+                kept = [batch.column(2).slice(at, len(keys))] if keep else []
+                at += len(keys)
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *kept, n], ["doc_id", *([keep] if keep else []), "n_tokens"])
+
+    columns = [F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string"), *([F.col(keep)] if keep else [])]
+    return docs.select(*columns).mapInArrow(run, f"doc_id long, {keep + ' string, ' if keep else ''}n_tokens long")
