@@ -216,7 +216,7 @@ def ground_violated(sample: DataFrame, rules: DataFrame) -> DataFrame:
     there = sample.select(F.concat("p", F.lit("("), "s", F.lit(","), "o", F.lit(")")).alias("atom")).distinct()
     atoms = rules.where(F.size("body") > 0).select("rule_id", "head", F.size(F.array_distinct("body")).alias("n"), F.explode(F.array_distinct("body")).alias("atom"))
     met = atoms.join(there, "atom").groupBy("rule_id", "head", "n").agg(F.count(F.lit(1)).alias("k")).where("k = n")
-    return met.join(there, met.head == there.atom, "left_anti").select("rule_id")
+    return met.withColumnRenamed("head", "wanted").join(there, F.col("wanted") == F.col("atom"), "left_anti").select("rule_id")
 
 
 def learn_paths(t: DataFrame, least: int = 2) -> DataFrame:
