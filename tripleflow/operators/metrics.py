@@ -103,12 +103,11 @@ def improvement(results: DataFrame, name: str, value: str, baseline: str) -> Dat
 def platt(scores: DataFrame, score: str, label: str, folds: int = 5, key: str | None = None) -> DataFrame:
     """``scores`` with ``calibrated``: a logistic function of the score, for each fold fitted on the others. Fits: an action."""
     from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
-    from pyspark.ml.linalg import Vectors, VectorUDT
-
-    as_vector = F.udf(lambda x: Vectors.dense([x]), VectorUDT())
-    data = scores.withColumn("__y", F.col(label).cast("double")).withColumn("__fold", F.pmod(F.xxhash64(key or score), F.lit(folds))).withColumn("__x", as_vector(F.col(score).cast("double")))
+    x = scores.withColumn("__s", F.col(score).cast("double")).withColumn("__y", F.col(label).cast("double")).withColumn("__fold", F.pmod(F.xxhash64(key or score), F.lit(folds)))
+    data = VectorAssembler(inputCols=["__s"], outputCol="__x").transform(x)
     out = None
     for k in range(folds):
         model = LogisticRegression(featuresCol="__x", labelCol="__y", probabilityCol="__p", regParam=0.0).fit(data.where(F.col("__fold") != k))
