@@ -151,6 +151,10 @@ def plan_tables(graph: DataFrame) -> dict[tuple[str, str], str]:
             if recursive or shared or any(k in repeated for k in g):
                 label = name if len(groups) == 1 or g is max(groups, key=lambda x: (len(x), sum(len(members[k]) for k in x))) else f"{g[0][0]}_{name}"
                 tables |= {k: label for k in g}
+    labels = set(tables.values())
+    for e in edges:  # written as a plain value here, as an element elsewhere
+        if e.member in labels and e.member != e.own and not e.objects and not e.lists:
+            tables.setdefault((e.own, e.member), e.member)
     return tables
 
 
