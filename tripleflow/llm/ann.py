@@ -104,10 +104,15 @@ def footrule(a: np.ndarray, b: np.ndarray, n_pivots: int) -> np.ndarray:
     np.put_along_axis(place, np.where(b < 0, n_pivots, b).astype(np.int64), np.arange(PREFIX, dtype=np.int16)[None, :].repeat(len(b), 0), 1)
     place[:, n_pivots] = PREFIX
     by_pivot = np.ascontiguousarray(place.T)
-    out = np.full((len(a), len(b)), PREFIX * (PREFIX + 1) // 2, np.int16)
+    there = (b >= 0) * (PREFIX - np.arange(PREFIX, dtype=np.int16))
+    out = np.repeat(there.sum(axis=1).astype(np.int16)[None, :], len(a), axis=0)
     for k in range(PREFIX):
-        at = by_pivot[np.where(a[:, k] < 0, n_pivots, a[:, k])]
-        out += np.abs(at - np.int16(k)) + at - np.int16(PREFIX)
+        known = a[:, k] >= 0
+        at = by_pivot[np.where(known, a[:, k], n_pivots)]
+        add = np.abs(at - np.int16(k)) + at - np.int16(PREFIX)
+        if not known.all():
+            add[~known] = 0
+        out += add
     return out
 
 
