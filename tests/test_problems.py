@@ -46,7 +46,7 @@ def test_multi_values(spark):
 
 
 DOC = {
-    "id": "c", "status": "on", "account": [{"id": "a", "status": None}, None, {"id": "b", "status": [{"status": "x", "validFor": {"startDateTime": 0}}, None, "y"]}],
+    "id": "c", "status": "on", "account": [{"id": "a", "status": None}, None, {"id": "b", "status": [{"status": "x", "validFor": {"startDateTime": 0}}, None, "y", 5]}],
     "contract": [{"id": "k", "product": [{"id": "p", "price": [{"comprisedOf": [{"id": "t", "tax": None}]}], "comprisedOf": [{"id": "q", "status": {"status": "z", "validFor": {"startDateTime": "28/02/2024 16:39:20"}}, "comprisedOf": [{"id": "r", "status": [{"validFor": None}]}]}]}], "resource": []}],
 }
 

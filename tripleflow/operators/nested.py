@@ -15,8 +15,8 @@ Scale: two passes over the documents, no shuffle but for the schema graph, whose
 
 Defined results: null, blank, cut-off or otherwise unreadable documents give one row in the table ``unreadable`` with the reason;
 JSON kept as a JSON string is read through; null members and null list elements give no row, but count in the places of a
-path; an empty object gives a row without columns; a scalar where an object is usual gives a row with the scalar in a column
-of the element's name; documents ingested twice are two documents.
+path; an empty object gives a row without columns; a string where an object is usual gives a row with the string in a column
+of the element's name, a number or boolean one in the column OTHER_SCALAR; documents ingested twice are two documents.
 """
 
 from __future__ import annotations
@@ -34,6 +34,8 @@ from ..functions.values import SENTINEL_DATES, fenced, with_instant
 
 MAX_EDGES = 50_000
 ROOT = "customer"
+#: The column of an element written as a number or boolean.
+OTHER_SCALAR = "#value"
 EDGES = "parent string, own string, member string, n long, objects long, lists long, scalars long, below string"
 ROWS = "id long, tab string, node int, parent_tab string, parent_node int, path string, parent_path string, ordinal int, fields map<string,string>"
 _ROWS = pa.schema(
@@ -175,7 +177,7 @@ def shred(docs: DataFrame, tables: dict[tuple[str, str], str], doc_id: str = "id
             node += 1
             below: list[tuple] = []
             if not isinstance(value, dict):
-                fields[kind[1]] = _text(value)
+                fields[kind[1] if isinstance(value, str) else OTHER_SCALAR] = _text(value)
             inner = [(kind, "", path, value)] if isinstance(value, dict) else []
             while inner:
                 at, prefix, here, obj = inner.pop()
@@ -236,6 +238,7 @@ STATUS_PATH = r"^(account(\[\d+\])*\.|contract(\[\d+\])*\.(product(\[\d+\])*\.(c
 
 def statuses(rows: DataFrame) -> DataFrame:
     """The status entries with their start date as written and as instant."""
+    rows = rows.where(~F.map_contains_key("fields", F.lit(OTHER_SCALAR)))  # objects and strings are entries
     got = flat(rows, ["status"], {"status": "status", "reason": "reason", "start_written": "validFor.startDateTime", "end_written": "validFor.endDateTime"})
     return with_usable_start(got.where(F.col("path").rlike(STATUS_PATH)), "start_written", "start_at")
 
