@@ -32,7 +32,7 @@ PAIR_LISTS, TOP_LISTS = 4, 8
 #: Footrule distance, as a share of the largest possible, beyond which pairs at 0.9 weren't met; see README for the measured recall.
 PAIR_FOOTRULE = 0.55
 #: Of each list, the candidates of a query that are reranked by their codes, and those that go to the exact rerank.
-LIST_DEPTH, EXACT_DEPTH = 512, 20
+LIST_DEPTH, EXACT_DEPTH = 1024, 20
 #: The most by which codes of 8 bits change a cosine.
 CODE_ERROR = 0.045
 
