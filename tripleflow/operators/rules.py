@@ -223,7 +223,7 @@ def learn_paths(t: DataFrame, least: int = 2) -> DataFrame:
     """``(rule, support, groundings, confidence)``: rules h(X,Y) <= b(X,Y), b(Y,X), and b1(X,Z), b2(Z,Y) in both directions of each.
 
     ``groundings`` are the ways to meet the body, ``support`` those whose head is there. Both are counted without listing the paths of the
-    body: groundings by the degrees of the middle node, support from the head's pairs on.
+    body: groundings by the degrees of the middle node, support from the head's pairs on, each from its end of lower degree.
     """
     e = t.select("s", "p", "o").distinct()
     both = e.select(F.col("s").alias("x"), F.col("p").alias("b"), F.col("o").alias("y"), F.lit(True).alias("fwd")).unionByName(e.select(F.col("o").alias("x"), F.col("p").alias("b"), F.col("s").alias("y"), F.lit(False).alias("fwd")))
@@ -236,7 +236,12 @@ def learn_paths(t: DataFrame, least: int = 2) -> DataFrame:
     into, out = first.groupBy("b1", "f1", "z").agg(F.count(F.lit(1)).alias("n1")), second.groupBy("b2", "f2", "z").agg(F.count(F.lit(1)).alias("n2"))
     back = F.when((F.col("b1") == F.col("b2")) & (F.col("f1") != F.col("f2")), F.col("n1")).otherwise(F.lit(0))
     two_all = into.join(out, "z").groupBy("b1", "f1", "b2", "f2").agg(F.sum(F.col("n1") * F.col("n2") - back).alias("groundings"))
-    two_sup = heads.where("x <> y").join(first, "x").join(second, ["z", "y"]).groupBy("h", "b1", "f1", "b2", "f2").agg(F.count(F.lit(1)).alias("support"))
+    # from the end of the head with fewer neighbours: the other may be a hub
+    deg = both.groupBy("x").agg(F.count(F.lit(1)).alias("n"))
+    sized = heads.where("x <> y").join(deg.toDF("x", "nx"), "x").join(deg.toDF("y", "ny"), "y")
+    from_x = sized.where("nx <= ny").join(first, "x").join(second, ["z", "y"]).select("h", "b1", "f1", "b2", "f2")
+    from_y = sized.where("nx > ny").join(second, "y").join(first, ["x", "z"]).select("h", "b1", "f1", "b2", "f2")
+    two_sup = from_x.unionByName(from_y).groupBy("h", "b1", "f1", "b2", "f2").agg(F.count(F.lit(1)).alias("support"))
     two = two_sup.join(two_all, ["b1", "f1", "b2", "f2"]).select(
         F.concat(F.col("h"), F.lit("(X,Y) <= "), text(F.col("b1"), F.col("f1"), "X", "Z"), F.lit(", "), text(F.col("b2"), F.col("f2"), "Z", "Y")).alias("rule"), "support", "groundings"
     )
