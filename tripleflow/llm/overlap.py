@@ -150,7 +150,7 @@ def class_pairs(classes: DataFrame, short: int = SHORT, short_t: float = SHORT_T
 
 def overlaps(triples: DataFrame, relation_map: DataFrame) -> DataFrame:
     """``(train_id, eval_id, split, source, train_source)``: pairs of a training and an evaluation row that state the same fact. An action."""
-    rows = two_sided(facts(triples, relation_map))
+    rows = two_sided(written(facts(triples, relation_map), "read"))  # values are read once
     fact = [*BLOCK, F.coalesce("words", F.lit("")).alias("w")]
     tr = rows.where(~F.col("ev")).select(*fact, F.col("triple_id").alias("train_id"), F.col("source").alias("train_source"))
     ev = rows.where(F.col("ev")).select(*fact, F.col("triple_id").alias("eval_id"), "split", "source")
