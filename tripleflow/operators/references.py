@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import entity_key
+from ..storage import written
 
 #: A (key, month) with more than this share of all references is split.
 HOT_SHARE = 1 / 2000
@@ -63,10 +64,9 @@ def orphans(lives: DataFrame, references: DataFrame, salts: int = 64) -> DataFra
     """The references ``(tab, field, row_id, key, at, month)`` whose key has an existence count of zero at their instant.
     Collects the hot keys, bounded by 1 / HOT_SHARE: an action."""
     spark = references.sparkSession
-    state = period_state(lives, references).where(F.col("refs") > 0)
-    counts = references.groupBy("key", month_of(F.col("at")).alias("month")).agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    hot_rows = counts.where(F.col("n") > max(10_000, total * HOT_SHARE)).select("key", "month").collect()
+    state = written(period_state(lives, references).where(F.col("refs") > 0), "periods")
+    total = state.agg(F.sum("refs")).first()[0] or 0
+    hot_rows = state.where(F.col("refs") > max(10_000, total * HOT_SHARE)).select("key", "month").collect()
     hot = F.broadcast(spark.createDataFrame([(r.key, r.month, salts) for r in hot_rows], "key string, month string, salts int"))
 
     refs = references.withColumn("month", month_of(F.col("at"))).join(hot, ["key", "month"], "left")
