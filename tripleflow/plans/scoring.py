@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..operators import embed as e
 from ..operators import graph as g
 from ..operators import metrics as m
+from ..operators import ml
+from ..operators import triples as tr
 from ..storage import ship, table
 from .star import KNOWN, known
 
@@ -114,3 +116,17 @@ def _trained(s: SparkSession, d: str) -> DataFrame:
 
 
 _add("transe_train", _trained)
+
+
+def _features(s: SparkSession, d: str) -> DataFrame:
+    """Features of customers, and whether they spend much."""
+    o = table(s, d, "orders").groupBy(F.col("o_custkey").alias("c")).agg(F.count(F.lit(1)).alias("n"), F.avg("o_totalprice").alias("mean"), F.count_if(F.col("o_orderstatus") == "F").alias("f"))
+    c = table(s, d, "customer").select(F.col("c_custkey").alias("c"), F.col("c_acctbal").alias("bal"), F.col("c_nationkey").cast("double").alias("nat"))
+    return c.join(o, "c").select("c", F.col("n").cast("double").alias("n"), F.col("f").cast("double").alias("f"), "bal", "nat", (F.col("n") * F.col("mean") > 2e6).cast("double").alias("y"))
+
+
+_F = ["n", "f", "bal", "nat"]
+_add("gbt_scores", lambda s, d: ml.probability(ml.boosted(_F, "y", 5, 3).fit(_features(s, d)), _features(s, d)).select("c", F.round("p", 6).alias("p")))
+_add("stacked_scores", lambda s, d: ml.stacked(_features(s, d), [["n", "f"], ["bal", "nat"]], "y", "c", 2).select("c", F.round("p", 6).alias("p")))
+_add("tree_rules", lambda s, d: s.createDataFrame(ml.tree_rules(ml.boosted(_F, "y", 3, 3).fit(_features(s, d)), _F), "rule string, value double"))
+_add("structure_features", lambda s, d: ml.structure_features(tr.json_to_triples(table(s, d, "events"), "event_id", "props")).select("doc_id", "n_leaves", "n_int", "max_depth"), "select event_id doc_id, 1::bigint n_leaves, 1::bigint n_int, 1::int max_depth from events where json_valid(props)")
