@@ -117,16 +117,15 @@ def two_sided(rows: DataFrame) -> DataFrame:
 
 
 def text_classes(rows: DataFrame) -> DataFrame:
-    """``(cid, s, p, key, words, ev, tr, grams)``: the different texts of each block."""
-    classes = rows.where(F.col("words").isNotNull()).groupBy(*BLOCK, "words").agg(F.bool_or("ev").alias("ev"), F.bool_or(~F.col("ev")).alias("tr"), F.min("triple_id").alias("cid"))
-    kind = F.pandas_udf(lambda s: s.map(shingles), "array<string>")
-    return classes.withColumn("grams", kind("words"))
+    """``(s, p, key, words, ev, tr, cid)``: the different texts of each block."""
+    return rows.where(F.col("words").isNotNull()).groupBy(*BLOCK, "words").agg(F.bool_or("ev").alias("ev"), F.bool_or(~F.col("ev")).alias("tr"), F.min("triple_id").alias("cid"))
 
 
 def class_pairs(classes: DataFrame, short: int = SHORT, short_t: float = SHORT_T, long_t: float = LONG_T) -> DataFrame:
     """``(e, t)``: the classes of an evaluation and a training text that are the same but not equal in their folded words."""
     t_of = lambda n: F.when(n < short, F.lit(short_t)).otherwise(F.lit(long_t))
-    exploded = classes.select("cid", F.explode("grams").alias("g"))
+    pieces = F.pandas_udf(lambda s: s.map(shingles), "array<string>")
+    exploded = classes.select("cid", F.explode(pieces("words")).alias("g"))
     often = exploded.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
     ordered = exploded.join(often, "g").groupBy("cid").agg(F.array_sort(F.collect_list(F.struct("n", "g"))).alias("o"))
     sized = classes.join(ordered, "cid").withColumn("size", F.size("o"))
@@ -139,13 +138,16 @@ def class_pairs(classes: DataFrame, short: int = SHORT, short_t: float = SHORT_T
     least = F.ceil(t / (1 + t) * (F.col("se") + F.col("st")) - F.lit(1e-9))
     fits = (F.least("se", "st") >= t * F.greatest("se", "st") - F.lit(1e-9)) & (1 + F.least(F.col("se") - F.col("pe"), F.col("st") - F.col("pt")) - 1 >= least)
     candidates = met.where(fits).select("e", "t").distinct()
-    texts = classes.select("cid", "words", "grams")
-    both = candidates.join(texts.toDF("e", "we", "ge"), "e").join(texts.toDF("t", "wt", "gt"), "t")
-    shared = F.size(F.array_intersect("ge", "gt"))
-    size = F.size("ge") + F.size("gt") - shared
-    alike = both.where(shared >= t_of(F.greatest(F.size("ge"), F.size("gt"))) * size - F.lit(1e-9))
-    check = F.pandas_udf(lambda a, b: a.combine(b, same_writing).astype(bool), "boolean")
-    return alike.where(check("we", "wt")).select("e", "t")
+    texts = classes.select("cid", "words")
+    both = candidates.join(texts.toDF("e", "we"), "e").join(texts.toDF("t", "wt"), "t")
+
+    def same(a: str, b: str) -> bool:
+        x, y = set(shingles(a)), set(shingles(b))
+        t = short_t if max(len(x), len(y)) < short else long_t
+        return len(x & y) >= t * len(x | y) - 1e-9 and same_writing(a, b)
+
+    check = F.pandas_udf(lambda a, b: a.combine(b, same).astype(bool), "boolean")
+    return both.where(check("we", "wt")).select("e", "t")
 
 
 def overlaps(triples: DataFrame, relation_map: DataFrame) -> DataFrame:
