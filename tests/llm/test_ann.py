@@ -76,3 +76,19 @@ def test_footrule():
         return sum(abs(a.get(p, ann.PREFIX) - b.get(p, ann.PREFIX)) for p in set(a) | set(b))
 
     assert ann.footrule(orders, orders, n).tolist() == [[plain(x, y) for y in orders] for x in orders]
+
+
+def crowd(n, dim, seed, noise):
+    """A third of all rows around one centre, the others anywhere."""
+    dice = np.random.default_rng(seed)
+    v = dice.normal(size=(n, dim))
+    v[: n // 3] = dice.normal(size=dim) + dice.normal(size=(n // 3, dim)) * noise
+    return [(i + 1, x) for i, x in enumerate(v.astype(np.float32))]
+
+
+def test_pairs_in_a_crowd_are_all_found(spark):
+    rows = crowd(2400, 128, 5, 0.33)
+    c, ids = cosines(rows), [i for i, _ in rows]
+    want = {(ids[i], ids[j]) for i, j in zip(*np.nonzero(np.triu(c >= 0.9, 1)))}
+    got = [tuple(r) for r in ann.similar_pairs(ann.usable(frame(spark, rows), "id", "v", 128)).collect()]
+    assert len(want) > 100_000 and len(got) == len(set(got)) and set(got) == want

@@ -1,4 +1,7 @@
-"""Most similar vectors for every vector: a permutation index.
+"""Most similar vectors for every vector: pairs by comparing all blocks of rows, the top k by a permutation index.
+
+Pairs are exact: the rows are packed in blocks of about CHUNK, and every block meets every other in a task of bounded size, read from the
+shared folder. The work grows with the square of the rows: in 128 dimensions no bound by distances to pivots spares much of it.
 
 ``pivots`` are vectors of the collection. Each vector is represented by the order of its ``PREFIX`` nearest pivots, and posted in the
 inverted lists of the nearest ``lists`` of them. Vectors that meet in a list are ranked by the footrule distance of their pivot orders
@@ -26,15 +29,13 @@ from pyspark.sql import functions as F
 
 from ..storage import written
 
-PREFIX, CHUNK, MAX_PIVOTS = 16, 1536, 16_384
-#: Lists a vector is posted in, for the search of pairs and for the top-k search.
-PAIR_LISTS, TOP_LISTS = 4, 8
-#: Footrule distance, as a share of the largest possible, beyond which pairs at 0.9 weren't met; see README for the measured recall.
-PAIR_FOOTRULE = 0.55
+PREFIX, CHUNK, MAX_PIVOTS = 16, 8192, 16_384
+#: Rows of a block that are multiplied at a time.
+STEP = 512
+#: Lists a vector is posted in for the top-k search.
+TOP_LISTS = 8
 #: Of each list, the candidates of a query that are reranked by their codes, and those that go to the exact rerank.
 LIST_DEPTH, EXACT_DEPTH = 1024, 20
-#: The most by which codes of 8 bits change a cosine.
-CODE_ERROR = 0.045
 
 
 def usable(rows: DataFrame, vec_id: str, vector: str, dimension: int) -> DataFrame:
@@ -138,31 +139,60 @@ def _side(t: pa.Table, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nda
     return t.column("rep").to_numpy(), get("perm", np.int16), get("code", np.int8).astype(np.float32) * t.column("scale").to_numpy()[:, None]
 
 
+PACKED = "block int, ids binary, vectors binary"
+
+
+def packed(reps: DataFrame, name: str) -> DataFrame:
+    """``(block, ids, vectors)``: the rows ``(rep, v)`` in blocks of about CHUNK, by a hash of their ids; ids ascend in a block. Writes them."""
+    n_blocks = max(1, math.ceil(reps.count() / CHUNK))
+
+    def pack(t: pa.Table) -> pa.Table:
+        t = t.sort_by("rep").combine_chunks()
+        v = t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        return pa.table({"block": t.column("block").slice(0, 1), "ids": pa.array([t.column("rep").to_numpy().tobytes()], pa.binary()), "vectors": pa.array([v.astype(np.float32).tobytes()], pa.binary())})
+
+    keyed = reps.select(F.pmod(F.xxhash64("rep", F.lit(3)), F.lit(n_blocks)).cast("int").alias("block"), "rep", "v")
+    return written(keyed.groupBy("block").applyInArrow(pack, PACKED), name)
+
+
+def _unpacked(ids: bytes, vectors: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of a block and its vectors, of length one."""
+    own = np.frombuffer(ids, np.int64)
+    m = np.frombuffer(vectors, np.float32).reshape(len(own), -1).astype(np.float64)
+    m /= np.abs(m).max(axis=1, keepdims=True)
+    return own, m / np.linalg.norm(m, axis=1, keepdims=True)
+
+
 def similar_pairs(vectors: DataFrame, least: float = 0.9) -> DataFrame:
-    """``(id_a, id_b)``: the pairs of rows ``(id, v)`` with a cosine of at least ``least``, smaller id first. An action."""
+    """``(id_a, id_b)``: the pairs of rows ``(id, v)`` with a cosine of at least ``least``, smaller id first. Exact. An action."""
     reps, members = representatives(vectors)
-    pivots = choose_pivots(reps)
-    n_pivots, most = len(pivots), int(PAIR_FOOTRULE * PREFIX * (PREFIX + 1))
-    postings = index(reps, pivots, PAIR_LISTS).withColumn("pivot", F.explode("lists")).drop("lists")
-    sizes = postings.groupBy("pivot").count()
-    salts = sizes.select("pivot", F.lit(1).alias("nq"), F.ceil(F.col("count") / CHUNK).cast("int").alias("nd"))
+    blocks = packed(reps, "blocks")
 
-    def compare(t: pa.Table) -> pa.Table:
-        role = t.column("role").to_numpy()
-        a_id, a_perm, a_vec = _side(t, (role & 1) > 0)
-        b_id, b_perm, b_vec = _side(t, (role & 2) > 0)
-        if not len(a_id) or not len(b_id):
-            x = y = np.zeros(0, np.int64)
-        else:
-            near = (footrule(a_perm, b_perm, n_pivots) <= most) & (a_vec @ b_vec.T >= least - CODE_ERROR)
-            i, j = np.nonzero(near)
-            x, y = a_id[i], b_id[j]
-            x, y = x[x != y], y[x != y]
-        return pa.table({"a": pa.array(np.minimum(x, y), pa.int64()), "b": pa.array(np.maximum(x, y), pa.int64())})
-
-    cells = _cells(postings, salts, True)
-    candidates = cells.groupBy("pivot", "i", "j").applyInArrow(compare, "a long, b long").distinct()
-    near = exact(candidates, reps).where(F.col("cosine") >= least).select("a", "b")
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                one, two, a_ids, a_bytes, b_ids, b_bytes = (batch.column(c)[k].as_py() for c in range(6))
+                (x, a), (y, b) = _unpacked(a_ids, a_bytes), _unpacked(b_ids, b_bytes)
+                a32, b32 = a.astype(np.float32), b.astype(np.float32)
+                slack = (a.shape[1] + 8) * float(np.finfo(np.float32).eps)  # more than a product in single precision can be off
+                for at in range(0, len(x), STEP):
+                    near = a32[at : at + STEP] @ b32.T
+                    i, j = np.nonzero(near >= least - slack)
+                    value = near[i, j]
+                    i += at
+                    keep = np.ones(len(i), bool)
+                    edge = np.nonzero(value < least + slack)[0]
+                    for few in np.array_split(edge, len(edge) // 100_000 + 1):
+                        keep[few] = np.einsum("ij,ij->i", a[i[few]], b[j[few]]) >= least
+                    if one == two:
+                        keep &= i < j
+                    i, j = i[keep], j[keep]
+                    if len(i):
+                        yield pa.RecordBatch.from_arrays([pa.array(x[i]), pa.array(y[j])], ["a", "b"])
+
+    two = blocks.toDF("block_b", "ids_b", "vectors_b")
+    cells = blocks.join(two, F.col("block") <= F.col("block_b")).select("block", "block_b", "ids", "vectors", "ids_b", "vectors_b")
+    near = cells.mapInArrow(compare, "a long, b long")
     ma, mb = members.select(F.col("id").alias("x"), F.col("rep").alias("a")), members.select(F.col("id").alias("y"), F.col("rep").alias("b"))
     across = near.join(ma, "a").join(mb, "b").select("x", "y")
     copies = members.groupBy("rep").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("rep")
