@@ -92,3 +92,14 @@ def test_pairs_in_a_crowd_are_all_found(spark):
     want = {(ids[i], ids[j]) for i, j in zip(*np.nonzero(np.triu(c >= 0.9, 1)))}
     got = [tuple(r) for r in ann.similar_pairs(ann.usable(frame(spark, rows), "id", "v", 128)).collect()]
     assert len(want) > 100_000 and len(got) == len(set(got)) and set(got) == want
+
+
+def test_top_k_in_a_crowd_is_exact(spark):
+    rows = crowd(6000, 128, 6, 0.33)
+    c, ids = cosines(rows), np.array([i for i, _ in rows])
+    np.fill_diagonal(c, -2)
+    vectors = ann.usable(frame(spark, rows), "id", "v", 128)
+    got: dict[int, list[int]] = {}
+    for r in ann.most_similar(vectors, vectors.where("id % 50 = 0"), 10).orderBy("id", "place").collect():
+        got.setdefault(r.id, []).append(r.neighbour)
+    assert got == {int(ids[k]): ids[np.argsort(-c[k], kind="stable")[:10]].tolist() for k, i in enumerate(ids) if i % 50 == 0}

@@ -1,20 +1,13 @@
-"""Most similar vectors for every vector: pairs by comparing all blocks of rows, the top k by a permutation index.
+"""Most similar vectors for every vector, exactly: blocks of rows against blocks of rows.
 
-Pairs are exact: the rows are packed in blocks of about CHUNK, and every block meets every other in a task of bounded size, read from the
-shared folder. The work grows with the square of the rows: in 128 dimensions no bound by distances to pivots spares much of it.
+Exact copies are one representative. The representatives are packed in blocks of about CHUNK rows in the shared folder. For pairs, every
+block meets every other; for a top-k search, every block of the rows asked for meets every block of all rows. A task compares
+blocks of bounded size that it reads from the shared folder, and nothing is left out, however the vectors crowd.
 
-``pivots`` are vectors of the collection. Each vector is represented by the order of its ``PREFIX`` nearest pivots, and posted in the
-inverted lists of the nearest ``lists`` of them. Vectors that meet in a list are ranked by the footrule distance of their pivot orders
-(a pivot outside the prefix counts as place ``PREFIX``), the best are reranked by cosine: first by the vectors in 8-bit codes
-that the lists carry, at last exactly, by the vectors themselves.
-
-Every row is indexed. The pivots are a sample of ``2 sqrt(n)`` rows, between 64 and MAX_PIVOTS, by the order of a hash of their
-ids: at most 8 MB of vectors, which are collected and broadcast. As they follow the density of the collection, the lists of
-crowded regions don't grow with the crowd; a list beyond CHUNK rows is compared in blocks, pair by pair of blocks, in tasks of
-bounded size, and nothing of it is left out. Exact copies are one representative in the index.
+The work grows with the square of the rows (times the share asked for): in 128 dimensions no bound by distances to pivots spares much of it.
 
 Defined results: null, empty, zero, NaN-bearing or infinite vectors, vectors with null elements and those of other lengths take no part; an entity
-may have several rows, a row is what is compared; ties in a top-k report go to the smaller id; an empty table gives no rows.
+may have several rows, a row is what is compared; ties in a top-k report (cosines equal to DIGITS digits) go to the smaller id; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,13 +22,12 @@ from pyspark.sql import functions as F
 
 from ..storage import written
 
-PREFIX, CHUNK, MAX_PIVOTS = 16, 8192, 16_384
-#: Rows of a block that are multiplied at a time.
-STEP = 512
-#: Lists a vector is posted in for the top-k search.
-TOP_LISTS = 8
-#: Of each list, the candidates of a query that are reranked by their codes, and those that go to the exact rerank.
-LIST_DEPTH, EXACT_DEPTH = 1024, 20
+#: Rows of a block, and those of them that are multiplied at a time.
+CHUNK, STEP = 8192, 512
+#: Digits to which a top-k report compares cosines.
+DIGITS = 12
+#: Length of the orders that ``footrule`` compares.
+PREFIX = 16
 
 
 def usable(rows: DataFrame, vec_id: str, vector: str, dimension: int) -> DataFrame:
@@ -53,52 +45,6 @@ def representatives(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     return reps.select("rep", "v"), members
 
 
-def choose_pivots(reps: DataFrame) -> np.ndarray:
-    """The pivots, of length one. An action; at most MAX_PIVOTS rows come to the driver."""
-    n = reps.count()
-    k = min(MAX_PIVOTS, max(64, int(2 * math.sqrt(n))))
-    rows = reps.orderBy(F.xxhash64("rep", F.lit(7)), "rep").limit(k).select("v").collect()
-    if not rows:
-        return np.zeros((0, 0), np.float32)
-    m = np.array([r.v for r in rows], np.float64)
-    return (m / np.linalg.norm(m, axis=1, keepdims=True)).astype(np.float32)
-
-
-def _unit(column: pa.Array) -> np.ndarray:
-    m = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1).astype(np.float64)
-    m /= np.abs(m).max(axis=1, keepdims=True)
-    return m / np.linalg.norm(m, axis=1, keepdims=True)
-
-
-INDEXED = "rep long, lists array<int>, perm binary, code binary, scale float"
-
-
-def index(reps: DataFrame, pivots: np.ndarray, lists: int) -> DataFrame:
-    """``(rep, lists, perm, code, scale)``: the lists of each vector, its pivot order (16-bit integers) and its 8-bit code."""
-    sent = reps.sparkSession.sparkContext.broadcast(pivots)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = sent.value
-        for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                batch = whole.slice(at, 2000)
-                u = _unit(batch.column(1)).astype(np.float32)
-                near = u @ p.T
-                k = min(PREFIX, near.shape[1])
-                top = np.argpartition(-near, k - 1, axis=1)[:, :k] if k < near.shape[1] else np.tile(np.arange(k), (len(u), 1))
-                order = np.take_along_axis(top, np.argsort(-np.take_along_axis(near, top, 1), axis=1, kind="stable"), 1)
-                perm = np.full((len(u), PREFIX), -1, np.int16)
-                perm[:, :k] = order
-                scale = np.abs(u).max(axis=1) / 127
-                code = np.rint(u / scale[:, None]).astype(np.int8)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(list(order[:, :lists].astype(np.int32)), pa.list_(pa.int32())), pa.array([x.tobytes() for x in perm], pa.binary()), pa.array([x.tobytes() for x in code], pa.binary()), pa.array(scale, pa.float32())],
-                    ["rep", "lists", "perm", "code", "scale"],
-                )
-
-    return reps.select("rep", "v").mapInArrow(run, INDEXED)
-
-
 def footrule(a: np.ndarray, b: np.ndarray, n_pivots: int) -> np.ndarray:
     """Footrule distances of each order in ``a`` to each in ``b`` (places outside the prefix count as PREFIX)."""
     place = np.full((len(b), n_pivots + 1), PREFIX, np.int16)
@@ -117,28 +63,6 @@ def footrule(a: np.ndarray, b: np.ndarray, n_pivots: int) -> np.ndarray:
     return out
 
 
-def _cells(postings: DataFrame, salts: DataFrame, both: bool) -> DataFrame:
-    """The postings in cells (list, block of queries, block of rows), each of at most about twice CHUNK rows."""
-    own = postings.join(F.broadcast(salts), "pivot")
-    h = F.xxhash64("rep")
-    q, d = F.pmod(h, F.col("nq")).cast("int"), F.pmod(h, F.col("nd")).cast("int")
-    spot = lambda i, j, role: F.struct(i.alias("i"), j.alias("j"), F.lit(role).alias("role"))
-    if both:
-        as_q = F.transform(F.sequence(d, F.col("nd") - 1), lambda j: F.struct(d.alias("i"), j.alias("j"), F.when(j == d, F.lit(3)).otherwise(F.lit(1)).alias("role")))
-        as_d = F.when(d > 0, F.transform(F.sequence(F.lit(0), d - 1), lambda i: spot(i, d, 2))).otherwise(F.array().cast("array<struct<i:int,j:int,role:int>>"))
-    else:
-        none = F.array().cast("array<struct<i:int,j:int,role:int>>")
-        as_q = F.when(F.col("asked"), F.transform(F.sequence(F.lit(0), F.col("nd") - 1), lambda j: spot(q, j, 1))).otherwise(none)
-        as_d = F.transform(F.sequence(F.lit(0), F.col("nq") - 1), lambda i: spot(i, d, 2))
-    return own.withColumn("at", F.explode(F.concat(as_q, as_d))).select("pivot", "at.i", "at.j", "at.role", "rep", "perm", "code", "scale")
-
-
-def _side(t: pa.Table, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    t = t.filter(pa.array(mask))
-    get = lambda c, kind: np.frombuffer(b"".join(t.column(c).to_pylist()), kind).reshape(len(t), -1)
-    return t.column("rep").to_numpy(), get("perm", np.int16), get("code", np.int8).astype(np.float32) * t.column("scale").to_numpy()[:, None]
-
-
 PACKED = "block int, ids binary, vectors binary"
 
 
@@ -201,51 +125,30 @@ def similar_pairs(vectors: DataFrame, least: float = 0.9) -> DataFrame:
     return across.unionByName(within).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
 
 
-def exact(candidates: DataFrame, reps: DataFrame) -> DataFrame:
-    """``candidates`` (a, b) with the exact ``cosine`` of their vectors."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                got = np.einsum("ij,ij->i", _unit(batch.column(2)), _unit(batch.column(3)))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(got, pa.float64())], ["a", "b", "cosine"])
-
-    pairs = candidates.join(reps.select(F.col("rep").alias("a"), F.col("v").alias("va")), "a").join(reps.select(F.col("rep").alias("b"), F.col("v").alias("vb")), "b")
-    return pairs.select("a", "b", "va", "vb").mapInArrow(run, "a long, b long, cosine double")
-
-
 def most_similar(vectors: DataFrame, asked: DataFrame, k: int = 10) -> DataFrame:
-    """``(id, neighbour, place, cosine)``: of each row asked for (its ``id``), the ``k`` most similar other representatives. An action."""
+    """``(id, neighbour, place, cosine)``: of each row asked for (its ``id``), the ``k`` most similar other representatives. Exact. An action."""
     reps, members = representatives(vectors)
-    pivots = choose_pivots(reps)
-    n_pivots = len(pivots)
     wanted = members.join(asked.select("id"), "id", "left_semi")
-    flags = wanted.select("rep").distinct().withColumn("asked", F.lit(True))
-    indexed = index(reps, pivots, TOP_LISTS).join(flags, "rep", "left").withColumn("asked", F.coalesce("asked", F.lit(False)))
-    postings = indexed.withColumn("pivot", F.explode("lists")).drop("lists")
-    sizes = postings.groupBy("pivot").agg(F.count(F.lit(1)).alias("n"), F.count_if("asked").alias("q")).where(F.col("q") > 0)
-    salts = sizes.select("pivot", F.ceil(F.col("q") / CHUNK).cast("int").alias("nq"), F.ceil(F.col("n") / CHUNK).cast("int").alias("nd"))
-
-    def compare(t: pa.Table) -> pa.Table:
-        role = t.column("role").to_numpy()
-        a_id, a_perm, a_vec = _side(t, role == 1)
-        b_id, b_perm, b_vec = _side(t, role == 2)
-        out_a, out_b = [], []
-        if len(a_id) and len(b_id):
-            depth = min(LIST_DEPTH, len(b_id))
-            far = footrule(a_perm, b_perm, n_pivots)
-            best = np.argpartition(far, depth - 1, axis=1)[:, :depth] if depth < len(b_id) else np.tile(np.arange(depth), (len(a_id), 1))
-            for r in range(len(a_id)):
-                mine = best[r][b_id[best[r]] != a_id[r]]
-                score = b_vec[mine] @ a_vec[r]
-                keep = mine[np.argsort(-score, kind="stable")[:EXACT_DEPTH]]
-                out_a.append(np.full(len(keep), a_id[r]))
-                out_b.append(b_id[keep])
-        join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-        return pa.table({"a": pa.array(join(out_a), pa.int64()), "b": pa.array(join(out_b), pa.int64())})
-
-    cells = _cells(postings, salts, False)
-    candidates = cells.groupBy("pivot", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+    queries = packed(reps.join(wanted.select("rep").distinct(), "rep", "left_semi"), "queries").toDF("block_a", "ids_a", "vectors_a")
+    cells = queries.crossJoin(packed(reps, "blocks")).select("ids_a", "vectors_a", "ids", "vectors")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                a_ids, a_bytes, b_ids, b_bytes = (batch.column(c)[r].as_py() for c in range(4))
+                (x, a), (y, b) = _unpacked(a_ids, a_bytes), _unpacked(b_ids, b_bytes)
+                for at in range(0, len(x), STEP):
+                    near = np.round(a[at : at + STEP] @ b.T, DIGITS)
+                    near[x[at : at + STEP, None] == y[None, :]] = -2
+                    n = min(k, len(y))
+                    edge = np.partition(near, len(y) - n, axis=1)[:, len(y) - n]
+                    i, j = np.nonzero((near >= edge[:, None]) & (near > -2))  # ties at the edge too
+                    order = np.lexsort((y[j], -near[i, j], i))
+                    i, j = i[order], j[order]
+                    best = np.arange(len(i)) - np.searchsorted(i, i) < k
+                    i, j = i[best], j[best]
+                    yield pa.RecordBatch.from_arrays([pa.array(x[at + i]), pa.array(y[j]), pa.array(near[i, j])], ["a", "b", "cosine"])
+
     order = Window.partitionBy("a").orderBy(F.col("cosine").desc(), "b")
-    top = exact(candidates, reps).withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+    top = cells.mapInArrow(compare, "a long, b long, cosine double").withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
     return wanted.join(top, F.col("rep") == F.col("a")).select("id", F.col("b").alias("neighbour"), "place", "cosine")
