@@ -103,3 +103,15 @@ def test_top_k_in_a_crowd_is_exact(spark):
     for r in ann.most_similar(vectors, vectors.where("id % 50 = 0"), 10).orderBy("id", "place").collect():
         got.setdefault(r.id, []).append(r.neighbour)
     assert got == {int(ids[k]): ids[np.argsort(-c[k], kind="stable")[:10]].tolist() for k, i in enumerate(ids) if i % 50 == 0}
+
+
+def test_top_k_shows_copies(spark):
+    rows = [(i, x) for i, (_, x) in zip(range(100, 140), clustered(35, 16, 7))]
+    rows += [(i, rows[3][1]) for i in (5, 200, 201)] + [(i, rows[4][1]) for i in range(300, 320)]
+    c, ids = cosines(rows), np.array([i for i, _ in rows])
+    vectors = ann.usable(frame(spark, rows), "id", "v", 16)
+    got: dict[int, list[int]] = {}
+    for r in ann.most_similar(vectors, vectors, 6).orderBy("id", "place").collect():
+        got.setdefault(r.id, []).append(r.neighbour)
+    assert got == {int(i): [int(ids[j]) for j in np.lexsort((ids, -np.round(c[k], 12))) if j != k][:6] for k, i in enumerate(ids)}
+    assert got[200][:3] == [5, 103, 201] and got[310] == [104, 300, 301, 302, 303, 304]

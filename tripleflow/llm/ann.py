@@ -1,13 +1,13 @@
 """Most similar vectors for every vector, exactly: blocks of rows against blocks of rows.
 
-Exact copies are one representative. The representatives are packed in blocks of about CHUNK rows in the shared folder. For pairs, every
+Exact copies are one representative in the comparison, and come back as rows in both results. The representatives are packed in blocks of about CHUNK rows in the shared folder. For pairs, every
 block meets every other; for a top-k search, every block of the rows asked for meets every block of all rows. A task compares
 blocks of bounded size that it reads from the shared folder, and nothing is left out, however the vectors crowd.
 
 The work grows with the square of the rows (times the share asked for): in 128 dimensions no bound by distances to pivots spares much of it.
 
 Defined results: null, empty, zero, NaN-bearing or infinite vectors, vectors with null elements and those of other lengths take no part; an entity
-may have several rows, a row is what is compared; ties in a top-k report (cosines equal to DIGITS digits) go to the smaller id; an empty table gives no rows.
+may have several rows, a row is what is compared; in a top-k report the copies of a row come first, and ties (cosines equal to DIGITS digits) go to the smaller id; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -126,7 +126,7 @@ def similar_pairs(vectors: DataFrame, least: float = 0.9) -> DataFrame:
 
 
 def most_similar(vectors: DataFrame, asked: DataFrame, k: int = 10) -> DataFrame:
-    """``(id, neighbour, place, cosine)``: of each row asked for (its ``id``), the ``k`` most similar other representatives. Exact. An action."""
+    """``(id, neighbour, place, cosine)``: of each row asked for (its ``id``), the ``k`` most similar other rows, its own copies first. Exact. An action."""
     reps, members = representatives(vectors)
     wanted = members.join(asked.select("id"), "id", "left_semi")
     queries = packed(reps.join(wanted.select("rep").distinct(), "rep", "left_semi"), "queries").toDF("block_a", "ids_a", "vectors_a")
@@ -150,5 +150,10 @@ def most_similar(vectors: DataFrame, asked: DataFrame, k: int = 10) -> DataFrame
                     yield pa.RecordBatch.from_arrays([pa.array(x[at + i]), pa.array(y[j]), pa.array(near[i, j])], ["a", "b", "cosine"])
 
     order = Window.partitionBy("a").orderBy(F.col("cosine").desc(), "b")
-    top = cells.mapInArrow(compare, "a long, b long, cosine double").withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
-    return wanted.join(top, F.col("rep") == F.col("a")).select("id", F.col("b").alias("neighbour"), "place", "cosine")
+    top = cells.mapInArrow(compare, "a long, b long, cosine double").withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).select("a", "b", "cosine")
+    # The first k + 1 rows of a group are all that k places can show of it, the row itself left out.
+    first = members.withColumn("n", F.row_number().over(Window.partitionBy("rep").orderBy("id"))).where(F.col("n") <= k + 1).select(F.col("rep").alias("b"), F.col("id").alias("neighbour"))
+    groups = top.unionByName(wanted.select(F.col("rep").alias("a"), F.col("rep").alias("b"), F.lit(1.0).alias("cosine")).distinct())
+    rows = wanted.join(groups.join(first, "b"), F.col("rep") == F.col("a")).where(F.col("neighbour") != F.col("id"))
+    places = Window.partitionBy("id").orderBy((F.col("a") == F.col("b")).desc(), F.col("cosine").desc(), "neighbour")
+    return rows.withColumn("place", F.row_number().over(places)).where(F.col("place") <= k).select("id", "neighbour", "place", "cosine")
