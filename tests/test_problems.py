@@ -69,6 +69,22 @@ def test_nested_documents(spark):
     rows.unpersist()
 
 
+def test_elements_that_never_are_lists(spark):
+    at = {"validFor": {"startDateTime": "a definir"}}
+    doc = {
+        "status": {"status": "on", **at}, "account": {"id": "a", "status": {"status": "x", "reason": "r", "changedBy": "me", **at}},
+        "contract": {"id": "k", "resource": {"id": "r", "status": "y"}, "product": {"id": "p", "status": {"note": "z"}, "comprisedOf": {"id": "q", "status": {"status": "w", **at}}}},
+    }
+    rows = nested.relational(spark.createDataFrame([(1, json.dumps(doc))], "id long, data string")).cache()
+    where = {"status", "account.status", "contract.resource.status", "contract.product.status", "contract.product.comprisedOf.status"}
+    assert {r.path for r in nested.undated(rows).collect()} == where
+    assert {r.path for r in nested.flat(rows, ["product", "comprisedOf"], {"p": "id"}, path=nested.PRODUCT_PATH).collect()} == {"contract.product", "contract.product.comprisedOf"}
+    assert [(r.path, r.p) for r in nested.flat(rows, ["resource"], {"p": "id"}, path=nested.RESOURCE_PATH).collect()] == [("contract.resource", "r")]
+    rows.unpersist()
+    plain = spark.createDataFrame([(1, json.dumps({"status": "on"}))], "id long, data string")
+    assert [r.path for r in nested.undated(nested.relational(plain)).collect()] == ["status"]
+
+
 def test_start_dates(spark):
     cases = [
         ("2019-10-04T23:07:37.393-03:00", True), ("1585332138725", True), ("1970-01-01T22:59:59.151-03:00", False), ("1969-12-31T22:00:00-03:00", False), ("0", False), ("86399999", False), ("86400000", True), ("31/12/9999 23:59:59", False),

@@ -2,7 +2,7 @@
 
 ``schema_graph`` reads which members occur under which elements, of what kind and how often. ``plan_tables`` decides from that
 graph: an element that repeats or recurs, or is shared by several parents and has members of varying shape, gets a table of its
-own; a singleton is inlined into its nearest table as columns named by its path (``validFor.startDateTime``). As JSON has no
+own, and so do the elements in OWN_TABLES, whatever the documents hold; a singleton is inlined into its nearest table as columns named by its path (``validFor.startDateTime``). As JSON has no
 references, a singleton value object of the same name under several parents (``validFor``) is inlined in each. ``shred`` then
 emits the rows of all tables in one pass, each with its own key and the key of its parent.
 
@@ -34,6 +34,10 @@ from ..functions.values import SENTINEL_DATES, fenced, with_instant
 
 MAX_EDGES = 50_000
 ROOT = "customer"
+#: Elements (parent, own) that have a table, be they lists, objects or plain values.
+OWN_TABLES = {(ROOT, "account"), (ROOT, "contract"), ("contract", "product"), ("contract", "resource"), ("product", "comprisedOf"), ("comprisedOf", "comprisedOf")} | {
+    (p, "status") for p in (ROOT, "account", "contract", "product", "comprisedOf", "resource")
+}
 #: The column of an element written as a number or boolean.
 OTHER_SCALAR = "#value"
 EDGES = "parent string, own string, member string, n long, objects long, lists long, scalars long, below string"
@@ -150,12 +154,12 @@ def plan_tables(graph: DataFrame) -> dict[tuple[str, str], str]:
         for g in groups:
             recursive = any(k[0] == k[1] for k in g)
             shared = len(g) > 1 and any(k in nested for k in g) and any(k in repeated for k in g)
-            if recursive or shared or any(k in repeated for k in g):
+            if recursive or shared or any(k in repeated or k in OWN_TABLES for k in g):
                 label = name if len(groups) == 1 or g is max(groups, key=lambda x: (len(x), sum(len(members[k]) for k in x))) else f"{g[0][0]}_{name}"
                 tables |= {k: label for k in g}
     labels = set(tables.values())
     for e in edges:  # written as a plain value here, as an element elsewhere
-        if e.member in labels and e.member != e.own and not e.objects and not e.lists:
+        if (e.member in labels or (e.own, e.member) in OWN_TABLES) and e.member != e.own and not e.objects and not e.lists:
             tables.setdefault((e.own, e.member), e.member)
     return tables
 
@@ -215,10 +219,13 @@ def relational(docs: DataFrame, doc_id: str = "id", data: str = "data") -> DataF
     return shred(docs, plan_tables(schema_graph(docs, data)), doc_id, data)
 
 
-def flat(rows: DataFrame, tabs: list[str], fields: dict[str, str], extra: tuple[str, ...] = ()) -> DataFrame:
-    """The table of ``tabs`` with a column per entry of ``fields`` (name -> member path)."""
+def flat(rows: DataFrame, tabs: list[str], fields: dict[str, str], extra: tuple[str, ...] = (), path: str | None = None) -> DataFrame:
+    """The table of ``tabs`` with a column per entry of ``fields`` (name -> member path).
+
+    With ``path`` also the rows at such paths that are in other tables: elements that differ in shape have tables called ``<parent>_<name>``."""
     picked = [F.col("fields").getItem(member).alias(name) for name, member in fields.items()]
-    return rows.where(F.col("tab").isin(*tabs)).select("id", "node", "parent_tab", "parent_node", "path", *extra, *picked)
+    mine = F.col("tab").isin(*tabs)
+    return rows.where(mine | F.col("path").rlike(path) if path else mine).select("id", "node", "parent_tab", "parent_node", "path", *extra, *picked)
 
 
 def with_usable_start(df: DataFrame, text: str, out: str) -> DataFrame:
@@ -235,11 +242,16 @@ def with_usable_start(df: DataFrame, text: str, out: str) -> DataFrame:
 #: Paths of the status entries of a customer, account, contract, product or resource.
 STATUS_PATH = r"^(account(\[\d+\])*\.|contract(\[\d+\])*\.(product(\[\d+\])*\.(comprisedOf(\[\d+\])*\.)*|resource(\[\d+\])*\.)?)?status(\[\d+\])*$"
 
+#: Paths of the products, in contracts and at any depth within products, and of the resources of contracts.
+PRODUCT_PATH = r"^contract(\[\d+\])*\.product(\[\d+\])*(\.comprisedOf(\[\d+\])*)*$"
+RESOURCE_PATH = r"^contract(\[\d+\])*\.resource(\[\d+\])*$"
+ACCOUNT_PATH, CONTRACT_PATH = r"^account(\[\d+\])*$", r"^contract(\[\d+\])*$"
+
 
 def statuses(rows: DataFrame) -> DataFrame:
     """The status entries with their start date as written and as instant."""
     rows = rows.where(~F.map_contains_key("fields", F.lit(OTHER_SCALAR)))  # objects and strings are entries
-    got = flat(rows, ["status"], {"status": "status", "reason": "reason", "start_written": "validFor.startDateTime", "end_written": "validFor.endDateTime"})
+    got = flat(rows, ["status"], {"status": "status", "reason": "reason", "start_written": "validFor.startDateTime", "end_written": "validFor.endDateTime"}, path=STATUS_PATH)
     return with_usable_start(got.where(F.col("path").rlike(STATUS_PATH)), "start_written", "start_at")
 
 

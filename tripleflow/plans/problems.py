@@ -48,19 +48,19 @@ def p2_customers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_accounts(spark: SparkSession, d: str) -> DataFrame:
-    return nested.flat(_nested(spark, d), ["account"], {"account_id": "id", "external_id": "externalId", "billing_spec_id": "billingAccountSpecId"})
+    return nested.flat(_nested(spark, d), ["account"], {"account_id": "id", "external_id": "externalId", "billing_spec_id": "billingAccountSpecId"}, path=nested.ACCOUNT_PATH)
 
 
 def p2_contracts(spark: SparkSession, d: str) -> DataFrame:
-    return nested.flat(_nested(spark, d), ["contract"], {"contract_id": "id", "external_id": "externalId", "payment_context": "paymentContext", "specification_id": "contractSpecification.id"})
+    return nested.flat(_nested(spark, d), ["contract"], {"contract_id": "id", "external_id": "externalId", "payment_context": "paymentContext", "specification_id": "contractSpecification.id"}, path=nested.CONTRACT_PATH)
 
 
 def p2_products(spark: SparkSession, d: str) -> DataFrame:
-    return nested.flat(_nested(spark, d), ["product", "comprisedOf"], {"product_id": "id", "external_id": "externalId", "offering_id": "productOfferingId", "name": "name"})
+    return nested.flat(_nested(spark, d), ["product", "comprisedOf"], {"product_id": "id", "external_id": "externalId", "offering_id": "productOfferingId", "name": "name"}, path=nested.PRODUCT_PATH)
 
 
 def p2_resources(spark: SparkSession, d: str) -> DataFrame:
-    return nested.flat(_nested(spark, d), ["resource"], {"resource_id": "id", "resource_number": "resourceNumber"})
+    return nested.flat(_nested(spark, d), ["resource"], {"resource_id": "id", "resource_number": "resourceNumber"}, path=nested.RESOURCE_PATH)
 
 
 def p2_statuses(spark: SparkSession, d: str) -> DataFrame:
