@@ -155,3 +155,10 @@ def test_workflow(spark):
     assert render("{{ missing }}", {}) is False and evaluate("'a' in d and not (1 > 2)", {"d": {"a": 1}}) is True
     with pytest.raises(ValueError):
         evaluate("().__class__", {})
+
+
+def test_nearest_to_many(spark):
+    rows = spark.range(5200).select("id", F.array(F.col("id").cast("double"), F.lit(1.0)).alias("v"))
+    asked = rows.select(F.col("id").alias("query"), F.col("v").alias("qv"))
+    got = {r.query: r.id for r in embed.nearest(rows, "id", "v", asked, 1, "euclid").collect()}
+    assert got == {i: abs(i - 1) for i in range(5200)}

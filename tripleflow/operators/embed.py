@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,10 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
+#: Queries of a search that are sent to the executors at a time, about.
+QUERIES_AT_ONCE = 5_000
+
+
 def norm(v: Column) -> Column:
     return F.sqrt(dot(v, v))
 
@@ -51,14 +56,18 @@ def triple_features(h: Column, r: Column, t: Column) -> Column:
 def nearest(rows: DataFrame, key: str, vector: str, asked: DataFrame, k: int = 10, metric: str = "cosine") -> DataFrame:
     """``(query, key, place, value)``: the ``k`` rows nearest to each query (query, qv), itself left out; exact.
 
-    ``value`` is the cosine, from high to low, or the euclidean distance, from low to high. The queries (a few thousand at most: checked) go
-    to all executors and meet the rows in blocks; each batch of rows gives ``k`` rows per query at most, so what is shuffled doesn't
+    ``value`` is the cosine, from high to low, or the euclidean distance, from low to high. The queries go
+    to all executors in blocks of about QUERIES_AT_ONCE and meet the rows in blocks; each batch of rows gives ``k`` rows per query at most, so what is shuffled doesn't
     grow with the vectors.
     """
-    limit = 5_000
-    held = asked.select(F.col("query").cast("long"), doubles(F.col("qv"))).limit(limit + 1).collect()
-    if len(held) > limit:
-        raise ValueError("too many queries for an exact search")
+    held = asked.select(F.col("query").cast("long"), doubles(F.col("qv")).alias("qv"))
+    n_blocks = max(1, -(-held.count() // QUERIES_AT_ONCE))
+    parts = [held.where(F.pmod(F.xxhash64("query"), F.lit(n_blocks)) == i) for i in range(n_blocks)]
+    return reduce(DataFrame.unionAll, (_nearest(rows, key, vector, part.collect(), k, metric) for part in parts))
+
+
+def _nearest(rows: DataFrame, key: str, vector: str, held: list, k: int, metric: str) -> DataFrame:
+    """``nearest`` for the queries ``held`` on the driver."""
     sent = rows.sparkSession.sparkContext.broadcast((np.array([r[0] for r in held], np.int64), np.array([r[1] for r in held], np.float64)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
