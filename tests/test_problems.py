@@ -4,6 +4,8 @@ import json
 from collections import Counter
 from datetime import datetime, timedelta
 
+from pyspark.sql import functions as F
+
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
@@ -27,11 +29,30 @@ def test_wide_rows_and_conflicts(spark):
     for block in (1, 2, 8):
         got = {r.s: r.asDict() for r in _wide(spark, rows, block).collect()}
         assert set(got) == {"A", "B", "C", "D"}
-        assert got["A"] == {"s": "A", "size": 1024, "name": "Xy", "fee": 1.5, "tag": "p", "on": True, "unfilled": []}
+        assert got["A"] == {"s": "A", "size": 1024, "name": "Xy", "fee": 1.5, "tag": ["p", "q"], "on": True, "unfilled": [], "unreadable": [], "overflow": []}
         assert got["B"]["size"] is None and got["B"]["name"] is None and got["B"]["fee"] is None and sorted(got["B"]["unfilled"]) == ["name", "size"]
         assert got["C"]["unfilled"] == [] and got["D"]["size"] is None
 
 
+def test_wide_flags_only_and_large_cells(spark):
+    rows = [("a", "tag", str(i)) for i in range(5)] + [("a", "size", "x"), ("b", "tag", "1"), ("b", "tag", "1 ")]
+    t = spark.createDataFrame(rows, "s string, p string, o string")
+    maps = spark.createDataFrame(RELATIONS, MAP)
+    flags = {r.s: r.asDict() for r in eav.pivot_blocks(t, maps, 2, values=False).collect()}
+    assert flags == {"A": {"s": "A", "unfilled": ["size"], "unreadable": ["size"]}, "B": {"s": "B", "unfilled": [], "unreadable": []}}
+    got = {r.s: r for r in eav.pivot_blocks(t, maps, 2, most=3).collect()}
+    assert got["A"].tag is None and got["A"].overflow == ["tag"] and got["B"].tag == ["1"] and got["B"].overflow == []
+    assert eav.multi_values(t, maps).where("s = 'A'").count() == 5  # what the wide table leaves to it
+
+
+def test_many_attributes_in_blocks(spark):
+    n = 40
+    maps = spark.createDataFrame([(i, f"a{i}", "bigint", None, i % 2 == 0, False) for i in range(n)], MAP)
+    t = spark.createDataFrame([(f"e{j}", f"a{i}", str(i * j)) for i in range(n) for j in range(3)], "s string, p string, o string")
+    got = {r.s: r for r in eav.pivot_blocks(t, maps, block_size=7).collect()}
+    assert all(got[f"E{j}"][f"a{i}"] == ([i * j] if i % 2 == 0 else i * j) for i in range(n) for j in range(3))
+
+
 def test_wide_of_nothing(spark):
     empty = _wide(spark, [])
     assert empty.count() == 0 and dict(empty.dtypes)["fee"] == "double"
@@ -69,6 +90,20 @@ def test_nested_documents(spark):
     rows.unpersist()
 
 
+def test_json_kept_in_strings_and_flat_tables(spark):
+    text = json.dumps(DOC)
+    for _ in range(6):
+        text = json.dumps(text)
+    assert nested.load_document(text)[0] == DOC
+    doc = {"id": "c", "path": "p", "contract": [{"id": 1, "price": [{"amount": 1.5}, {"amount": 2}], "on": True}, {"id": 2, "On": "x", "price": [{"amount": -3}]}]}
+    tables = nested.flat_tables(nested.relational(spark.createDataFrame([(1, json.dumps(doc)), (2, None)], "id long, data string")))
+    assert {"customer", "contract", "price", "unreadable"} <= set(tables)
+    assert dict(tables["price"].dtypes)["amount"] == "double" and dict(tables["contract"].dtypes)["member.id"] == "bigint" and {"On", "on.2"} <= set(tables["contract"].columns)
+    joined = tables["price"].alias("x").join(tables["contract"].select("id", F.col("node").alias("parent_node"), F.col("`member.id`").alias("c")), ["id", "parent_node"])
+    assert {(r.amount, r.c) for r in joined.collect()} == {(1.5, 1), (2.0, 1), (-3.0, 2)}
+    assert tables["customer"].first()["member.path"] == "p"
+
+
 def test_elements_that_never_are_lists(spark):
     at = {"validFor": {"startDateTime": "a definir"}}
     doc = {
@@ -124,12 +159,19 @@ def test_references_against_plain_python(spark, lives, refs):
 def test_hot_reference_key(spark):
     lives = spark.createDataFrame([("hot", T0, None), ("gone", T0, T0 + timedelta(days=5))], LIVES)
     refs = spark.range(30_000).selectExpr("'t' tab", "'s' field", "id row_id", "if(id % 3 = 0, 'GONE', 'HOT') key", "timestamp'2024-01-03' + make_interval(0, 0, 0, cast(id % 4 as int)) at")
-    found = references.orphans(references.life_deltas(lives, "label", "added_at", "deleted_at"), refs)
+    found = references.orphans(references.life_deltas(lives, "label", "added_at", "deleted_at"), refs, rows_a_task=500)
     want = sum(1 for i in range(30_000) if i % 3 == 0 and 3 + i % 4 >= 6)
     assert found.count() == want
     assert references.report(found).collect()[0].n_refs == want
 
 
+def test_state_kept_from_period_to_period(spark):
+    life = spark.createDataFrame([("A", T0, 1), ("A", T0 + timedelta(days=40), -1), ("B", T0 + timedelta(days=3), 1)], "key string, at timestamp, delta long")
+    refs = spark.createDataFrame([("t", "s", i, k, T0 + timedelta(days=d)) for i, (k, d) in enumerate([("A", 1), ("A", 50), ("B", 5), ("C", 60)])] + [("t", "s", 9, "C", None)], REFS)
+    once = {tuple(r) for r in references.maintained(life, refs, []).collect()}
+    assert once == {tuple(r) for r in references.maintained(life, refs, ["2024-01-10", "2024-02-15"]).collect()} == {("A", 2, 0), ("B", 1, 1), ("C", 2, 0)}
+
+
 def test_signed_counts_accumulate(spark):
     life = lambda rows: spark.createDataFrame(rows, "key string, at timestamp, delta long")
     ref = lambda keys: spark.createDataFrame([("t", "s", i, k, T0) for i, k in enumerate(keys)], REFS)

@@ -4,7 +4,9 @@
 graph: an element that repeats or recurs, or is shared by several parents and has members of varying shape, gets a table of its
 own, and so do the elements in OWN_TABLES, whatever the documents hold; a singleton is inlined into its nearest table as columns named by its path (``validFor.startDateTime``). As JSON has no
 references, a singleton value object of the same name under several parents (``validFor``) is inlined in each. ``shred`` then
-emits the rows of all tables in one pass, each with its own key and the key of its parent.
+emits the rows of all tables in one pass, each with its own key and the key of its parent, and ``flat_tables`` gives each table with its columns, typed.
+Whether elements of one name under several parents are one table follows from the members they have in all documents: at least half of
+the smaller set of members and two fifths of all in common (SAME_SMALLER, SAME_ALL).
 
 An element is known by (member of its parent, its own member), so products within products are one recursive element, while
 the parts of a price of the same member name are another; elements of one member name and mostly the same members are one
@@ -31,8 +33,10 @@ from pyspark.sql import functions as F
 
 from ..functions.text import trimmed
 from ..functions.values import SENTINEL_DATES, fenced, with_instant
+from ..storage import new_path
 
 MAX_EDGES = 50_000
+SAME_SMALLER, SAME_ALL = 0.5, 0.4
 ROOT = "customer"
 #: Elements (parent, own) that have a table, be they lists, objects or plain values.
 OWN_TABLES = {(ROOT, "account"), (ROOT, "contract"), ("contract", "product"), ("contract", "resource"), ("product", "comprisedOf"), ("comprisedOf", "comprisedOf")} | {
@@ -52,9 +56,7 @@ def load_document(text: str | None) -> tuple[dict | None, str]:
     if text is None:
         return None, "null"
     value: object = text
-    for _ in range(4):
-        if not isinstance(value, str):
-            break
+    while isinstance(value, str):  # each reading takes two quotes at least
         if not value.strip():
             return None, "blank"
         try:
@@ -144,8 +146,8 @@ def plan_tables(graph: DataFrame) -> dict[tuple[str, str], str]:
         for k in kinds:
             for g in groups:
                 one, two = members[g[0]], members[k]
-                if not one or not two or len(one & two) >= 0.5 * min(len(one), len(two)):
-                    same = one == two or len(one & two) >= 0.4 * len(one | two)
+                if not one or not two or len(one & two) >= SAME_SMALLER * min(len(one), len(two)):
+                    same = one == two or len(one & two) >= SAME_ALL * len(one | two)
                     if same or not one or not two:
                         g.append(k)
                         break
@@ -228,6 +230,55 @@ def flat(rows: DataFrame, tabs: list[str], fields: dict[str, str], extra: tuple[
     return rows.where(mine | F.col("path").rlike(path) if path else mine).select("id", "node", "parent_tab", "parent_node", "path", *extra, *picked)
 
 
+TYPES = ("bigint", "double", "boolean", "string")
+
+
+def columns_of(rows: DataFrame) -> list[tuple[str, str, str]]:
+    """``(table, member path, type)`` of all columns of all tables, by the values they hold: whole numbers, numbers, booleans or texts.
+    An action; as many rows as the schema has members, checked against MAX_EDGES."""
+    v = F.col("value")
+    cells = rows.select("tab", F.explode("fields").alias("member", "value")).where(v.isNotNull())
+    kinds = cells.groupBy("tab", "member").agg(
+        F.min(v.rlike(r"^-?(0|[1-9][0-9]{0,17})$").cast("int")).alias("whole"), F.min(v.rlike(r"^-?(0|[1-9][0-9]*)([.][0-9]+)?([eE][+-]?[0-9]+)?$").cast("int")).alias("number"), F.min(v.isin("true", "false").cast("int")).alias("truth")
+    )
+    kind = F.when(F.col("whole") == 1, "bigint").when(F.col("number") == 1, "double").when(F.col("truth") == 1, "boolean").otherwise("string")
+    found = kinds.select("tab", "member", kind.alias("kind")).orderBy("tab", "member").limit(MAX_EDGES + 1).collect()
+    if len(found) > MAX_EDGES:
+        raise ValueError("more columns than a schema has")
+    return [tuple(r) for r in found]
+
+
+def flat_tables(rows: DataFrame) -> dict[str, DataFrame]:
+    """Every table of the rows of ``shred`` with all its columns, typed: ``id``, ``node`` (its key), ``parent_tab``, ``parent_node``, ``path``, ``parent_path``,
+    ``ordinal``, and a column per member path. The rows are shredded once and written, partitioned by table. An action.
+
+    A member called like a key column gets ``member.`` before its name; names that differ in case only are told apart by a number.
+    """
+    spark = rows.sparkSession
+    path = new_path(spark, "tables")
+    rows.write.partitionBy("tab").parquet(path)
+    kept = spark.read.schema(rows.schema).parquet(path)
+    by_table: dict[str, list[tuple[str, str]]] = defaultdict(list)
+    for tab, member, kind in columns_of(kept):
+        by_table[tab].append((member, kind))
+    keys = ["id", "node", "parent_tab", "parent_node", "path", "parent_path", "ordinal"]
+    tabs = [r.tab for r in kept.select("tab").distinct().limit(MAX_EDGES).collect()]
+    out: dict[str, DataFrame] = {}
+    for tab in sorted(tabs):
+        taken = {k.lower() for k in keys}
+        picked = []
+        for member, kind in by_table[tab]:
+            name = f"member.{member}" if member.lower() in keys else member
+            n = 1
+            while name.lower() in taken:
+                n += 1
+                name = f"{member}.{n}"
+            taken.add(name.lower())
+            picked.append(F.col("fields").getItem(member).cast(kind).alias(name))
+        out[tab] = kept.where(F.col("tab") == tab).select(*keys, *picked)
+    return out
+
+
 def with_usable_start(df: DataFrame, text: str, out: str) -> DataFrame:
     """Adds ``out``: the instant of a start date, or null: epoch milliseconds (numbers, also as strings), or a date with or without
     time, without an offset in -03:00; neither on a sentinel date as written nor in UTC."""

@@ -6,9 +6,9 @@ within a month the deltas are run in order of time, so each reference meets the
 references and an existence count of zero is an orphan. ``merge_state`` adds new deltas to kept counts, so that the current
 report needs only what changed.
 
-Scale: deltas are summed before they are shuffled; a (key, month) that holds very many references is split into salted parts,
-each with a copy of the few life deltas of that key and month. The list of such keys is bounded: at most ``1 / HOT_SHARE`` of them
-can hold that share of all references, and only they are collected and broadcast.
+Scale: deltas are summed before they are shuffled; a (key, month) of more than ROWS_A_TASK references is split into as many salted parts
+as bring it below that, each with a copy of the few life deltas of that key and month. The list of such keys is bounded: at most
+``1 / HOT_SHARE`` of them can hold that share of all references, and only they are broadcast.
 
 Defined results: null is no reference, nor is null instant one that can be tested: such a row is an orphan, as no life covers
 it; lives without a start or label count for nothing; a blank reference is a key like any other; records stored twice add two to
@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from ..functions.text import entity_key
 from ..storage import written
 
-#: A (key, month) with more than this share of all references is split.
-HOT_SHARE = 1 / 2000
+#: References of a (key, month) that one task takes at most, unless they are less than HOT_SHARE of all.
+ROWS_A_TASK, HOT_SHARE = 50_000, 1 / 100_000
 #: A life delta comes before a reference of the same instant.
 LIFE, REFERENCE = 0, 1
 
@@ -60,14 +60,13 @@ def period_state(lives: DataFrame, references: DataFrame) -> DataFrame:
     return both.withColumn("carry", F.coalesce(F.sum("born").over(past), F.lit(0).cast("long")))
 
 
-def orphans(lives: DataFrame, references: DataFrame, salts: int = 64) -> DataFrame:
+def orphans(lives: DataFrame, references: DataFrame, rows_a_task: int = ROWS_A_TASK) -> DataFrame:
     """The references ``(tab, field, row_id, key, at, month)`` whose key has an existence count of zero at their instant.
-    Collects the hot keys, bounded by 1 / HOT_SHARE: an action."""
-    spark = references.sparkSession
+    Writes the state of the periods: an action."""
     state = written(period_state(lives, references).where(F.col("refs") > 0), "periods")
     total = state.agg(F.sum("refs")).first()[0] or 0
-    hot_rows = state.where(F.col("refs") > max(10_000, total * HOT_SHARE)).select("key", "month").collect()
-    hot = F.broadcast(spark.createDataFrame([(r.key, r.month, salts) for r in hot_rows], "key string, month string, salts int"))
+    large = state.where(F.col("refs") > max(rows_a_task, total * HOT_SHARE))
+    hot = F.broadcast(large.select("key", "month", F.ceil(F.col("refs") / rows_a_task).cast("int").alias("salts")))
 
     refs = references.withColumn("month", month_of(F.col("at"))).join(hot, ["key", "month"], "left")
     refs = refs.withColumn("salt", F.coalesce(F.pmod(F.xxhash64("tab", "field", "row_id"), F.col("salts")), F.lit(0)).cast("int"))
@@ -89,13 +88,28 @@ def report(found: DataFrame) -> DataFrame:
 
 
 def merge_state(kept: DataFrame | None, lives: DataFrame, references: DataFrame) -> DataFrame:
-    """``(key, refs, existing)``: the signed counts after the deltas; ``kept`` is the result of an earlier call."""
+    """``(key, refs, existing)``: the signed counts after the deltas; ``kept`` is the result of an earlier call. Keys without counts drop out."""
     deltas = lives.select("key", F.lit(0).cast("long").alias("refs"), F.col("delta").alias("existing")).unionByName(
         references.select("key", F.lit(1).cast("long").alias("refs"), F.lit(0).cast("long").alias("existing"))
     )
     if kept is not None:
         deltas = kept.select("key", "refs", "existing").unionByName(deltas)
-    return deltas.groupBy("key").agg(F.sum("refs").alias("refs"), F.sum("existing").alias("existing"))
+    return deltas.groupBy("key").agg(F.sum("refs").alias("refs"), F.sum("existing").alias("existing")).where((F.col("refs") != 0) | (F.col("existing") != 0))
+
+
+def maintained(lives: DataFrame, references: DataFrame, cuts: list[str]) -> DataFrame:
+    """The state after all deltas, kept from one period to the next: the deltas up to each of ``cuts`` (instants) are merged into the state
+    that was written at the one before, so that a period reads its own deltas and the state. Deltas without an instant are of the last period. An action."""
+    state, last = None, None
+    for cut in [*cuts, None]:
+        after = F.lit(True) if last is None else F.col("at") > F.lit(last).cast("timestamp")
+        of = (after & (F.col("at") <= F.lit(cut).cast("timestamp"))) if cut else (after | F.col("at").isNull())
+        if last is None and cut is None:
+            of = F.lit(True)
+        state = merge_state(state, lives.where(of), references.where(of))
+        if cut:
+            state, last = written(state, "counts"), cut
+    return state
 
 
 def current_orphans(state: DataFrame) -> DataFrame:

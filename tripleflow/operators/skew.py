@@ -22,12 +22,11 @@ SLICES = 4
 def tree_sum(df: DataFrame, keys: list[str], sums: list[str], chunk: Column, chunks: int, fan_in: int = 16) -> DataFrame:
     """Sums per key through rounds of merging; ``chunk`` numbers the rows' chunks from 0 to ``chunks`` - 1."""
     state = df.select(*keys, *sums, chunk.cast("long").alias("chunk"))
-    while True:
+    while chunks > 1:
         state = state.groupBy(*keys, "chunk").agg(*(F.sum(c).alias(c) for c in sums))
-        if chunks <= 1:
-            return state.drop("chunk")
         chunks = -(-chunks // fan_in)
         state = state.withColumn("chunk", F.floor(F.col("chunk") / fan_in))
+    return state.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in sums))
 
 
 def input_chunk(df: DataFrame) -> tuple[Column, int]:
