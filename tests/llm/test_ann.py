@@ -64,18 +64,18 @@ def test_top_k_recall(spark):
     assert hits / (10 * len(asked)) >= 0.9
 
 
-def test_footrule():
-    dice, n = np.random.default_rng(0), 40
-    orders = np.array([dice.permutation(n)[: ann.PREFIX] for _ in range(6)], np.int16)
-    orders[0, 5:] = -1
-    orders[1, 3:] = -1
-
-    def plain(x, y):
-        place = lambda o: {int(p): k for k, p in enumerate(o) if p >= 0}
-        a, b = place(x), place(y)
-        return sum(abs(a.get(p, ann.PREFIX) - b.get(p, ann.PREFIX)) for p in set(a) | set(b))
-
-    assert ann.footrule(orders, orders, n).tolist() == [[plain(x, y) for y in orders] for x in orders]
+def test_posted_lists_hold_every_pair():
+    """Two vectors with a cosine of 0.8 are in one cell, or one of them is posted in the other's."""
+    rows = clustered(600, 24, 4)
+    v = ann.unit(np.array([x for _, x in rows]))
+    pivots = v[:40].astype(np.float32)
+    cell = (v.astype(np.float32) @ pivots.T).argmax(axis=1)
+    order = np.argsort(cell, kind="stable")
+    block = ann.Block(cell[order].astype(np.int32).tobytes(), np.arange(len(v))[order].tobytes(), v[order].astype(np.float32).tobytes())
+    posted = block.posted(pivots, block, np.sqrt(2 - 2 * 0.8) / 2)
+    met = posted[:, block.at]
+    c = block.v @ block.v.T
+    assert (met | met.T)[c >= 0.8].all() and not met.all()
 
 
 def crowd(n, dim, seed, noise):
