@@ -51,3 +51,11 @@ def test_documents(spark, tools):
     assert got == {i: tools[1].encode_ordinary(t) if t else [] for i, t, _ in rows}
     assert {r.doc_id: (r.ids, r.n_tokens) for r in bpe.token_counts(docs, keep="ids").collect()} == {i: (x, len(got[i])) for i, _, x in rows}
     assert bpe.encode(docs.limit(0)).count() == 0
+
+
+def test_decoding_gives_the_texts_back(spark):
+    texts = ["Olá mundo", None, "", " ", "a\n\t b  <b>漢😀", "word " * 5000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.text for r in bpe.decode(bpe.encode(docs)).collect()} == {i: t or "" for i, t in enumerate(texts)}
+    odd = spark.createDataFrame([(1, [-1, 10_000_000]), (2, None), (3, [])], "doc_id long, ids array<int>")
+    assert {r.doc_id: r.text for r in bpe.decode(odd).collect()} == {1: "", 2: "", 3: ""}

@@ -2,11 +2,12 @@ import pytest
 
 from tripleflow.llm import mixing
 
-PLAN = ("source", "lang", "share", "repeats", "tokens", "cap", "budget")
+PLAN = ("source", "lang", "share", "repeats", "tokens", "cap", "budget", "short")
+DOMAINS = {"ticket": "service", "chat": "service", "faq": "service"}
 
 
 def plan(sources):
-    return [dict(zip(PLAN, r)) for r in mixing.budgets(sources)]
+    return [dict(zip(PLAN, r)) for r in mixing.budgets(sources, DOMAINS)]
 
 
 def test_budgets_meet_the_shares():
@@ -46,12 +47,27 @@ def test_mix(spark):
     for source in limit:
         used = sum(r.uses * r.n_tokens for r in mixed if r.source == source)
         assert abs(used - budget[source]) <= 10
-    again = mixing.mix(sizes, planned, ranges=7).collect()
+    again = mixing.mix(sizes, planned, docs_a_range=9).collect()
     assert {(r.doc_id, r.uses) for r in again} == {(r.doc_id, r.uses) for r in mixed}
     shares = {r.source: r for r in mixing.shares(mixing.mix(sizes, planned), planned).collect()}
     assert sum(r.actual_share for r in shares.values()) == pytest.approx(1) and shares["none"].used == 0
 
 
+def test_shortage_before_redistribution():
+    rows = {r["source"]: r for r in plan([("ticket", 0.4, 5, {"pt": 700}), ("chat", 0.3, 1, {"pt": 100}), ("runbook", 0.3, 5, {"pt": 200})])}
+    assert rows["chat"]["short"] == pytest.approx(200) and rows["ticket"]["short"] == rows["runbook"]["short"] == 0
+    half = {r["source"]: r for r in plan([("ticket", 0.2, 1, {"pt": 10, "en": 10}), ("chat", 0.3, 1, {"pt": 80})])}
+    assert half["ticket"]["short"] == 0 and half["chat"]["short"] == 0  # shares as given, not of their sum
+
+
+def test_domains_are_a_table(spark):
+    docs, targets = tables(spark)
+    sizes = mixing.sized_documents(docs, targets)
+    domains = spark.createDataFrame([(" CHAT", "service"), ("ticket", "service"), ("faq", None), (None, "x")], "source string, domain string")
+    got = {(r.source, r.lang): r.budget for r in mixing.plan(sizes, targets, domains).collect()}
+    assert {k[1] for k in got} <= {"pt", "zz", "other"} and sum(got.values()) > 0
+
+
 def test_no_documents(spark):
     docs, targets = tables(spark)
     sizes = mixing.sized_documents(docs.limit(0), targets)

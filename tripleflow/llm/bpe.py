@@ -9,24 +9,32 @@ In a step, all occurrences of a word's least pair are contracted, from the left
 at a time: a pair that holds a merged token has a higher rank than the merge that made it. It keeps the steps of a word to the number of
 different merges in it, not their total, which matters for very long words.
 
-Scale: no shuffle; a task holds a batch of documents (``BATCH_CHARS`` of text) and its words. The merge table (its size is that of the
-public vocabulary) goes to each executor once. A document longer than a batch is a batch of its own.
+A word that is an entry of the vocabulary has the id of that entry, by the tokenizer's own rule; a join with the vocabulary gives it, and the
+recursion begins with the others. ``decode`` turns ids back into text by an ordered aggregation of the tokens' bytes.
+
+Scale: no shuffle; a task holds a batch of documents (``BATCH_CHARS`` of text) and its words. The vocabulary file (its size is that of the
+public vocabulary) is sent to each executor once, from the driver. A document longer than a batch is a batch of its own.
 
 Defined results: null and empty texts give an empty list; blank texts are encoded as they are; the strings of special tokens are
-ordinary text; lone surrogates can't occur, as Spark's strings are UTF-8.
+ordinary text; lone surrogates can't occur, as Spark's strings are UTF-8; ids outside the vocabulary decode to nothing, and bytes that
+are no UTF-8 to the replacement character.
 """
 
 from __future__ import annotations
 
 import base64
+import os
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import local_path, new_path
+
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.tiktoken"
 # Fixed value: how the tokenizer cuts a text into words.
@@ -84,19 +92,20 @@ def pieces_of(text: str) -> list[str]:
 class Encoder:
     """A DuckDB with the merge table of a vocabulary. Pieces of text (from one blank to the next) are encoded once and remembered."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, spill: str = "") -> None:
         import duckdb
         import regex
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.pattern = regex.compile(PATTERN)
-        self.db = duckdb.connect(config={"memory_limit": "500MB", "threads": 1})
+        self.db = duckdb.connect(config={"memory_limit": "500MB", "threads": 1, "temp_directory": spill})
         pairs = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
         self._table("pairs", {c: pa.array([p[i] for p in pairs], pa.int32()) for i, c in enumerate("abr")})
         self.db.execute("create table merges as select a, b, r from pairs")
+        self._table("entries", {"b": pa.array(list(ranks), pa.binary()), "r": pa.array(list(ranks.values()), pa.int32())})
+        self.db.execute("create table vocabulary as select b, r from entries")
         self.byte = [ranks[bytes([i])] for i in range(256)]
-        self.whole = ranks
         self._forget()
 
     def _table(self, name: str, columns: dict[str, pa.Array]) -> None:
@@ -107,12 +116,17 @@ class Encoder:
         self.pieces = pa.array([], pa.list_(pa.int32()))
 
     def word_ids(self, words: list[str]) -> list[list[int]]:
-        """The ids of each word: those of the vocabulary as they are, the rest by the recursive query."""
+        """The ids of each word: entries of the vocabulary by a join, the rest by the recursive query."""
         out: list[list[int]] = [[]] * len(words)
+        raw = [word.encode("utf-8") for word in words]
+        self._table("words", {"w": pa.array(range(len(raw)), pa.int32()), "b": pa.array(raw, pa.binary())})
+        found = self.db.sql("select w, r from words join vocabulary using (b)").to_arrow_table()
+        for k, r in zip(*(c.to_pylist() for c in found.columns)):
+            out[k] = [r]
         w: list[int] = []
         pos: list[int] = []
         tok: list[int] = []
-        byte, whole = self.byte, self.whole
+        byte = self.byte
 
         def contract() -> None:
             self._table("start", {"w": pa.array(w, pa.int32()), "pos": pa.array(pos, pa.int32()), "tok": pa.array(tok, pa.int32())})
@@ -120,20 +134,31 @@ class Encoder:
                 out[k] = ids
             w.clear(), pos.clear(), tok.clear()
 
-        for k, word in enumerate(words):
-            raw = word.encode("utf-8")
-            if raw in whole:
-                out[k] = [whole[raw]]
+        for k, letters in enumerate(raw):
+            if out[k]:
                 continue
-            w += [k] * len(raw)
-            pos += range(len(raw))
-            tok += [byte[c] for c in raw]
+            w += [k] * len(letters)
+            pos += range(len(letters))
+            tok += [byte[c] for c in letters]
             if len(w) > QUERY_ROWS:
                 contract()
         if w:
             contract()
         return out
 
+    def decode(self, ids: pa.Array) -> list[str]:
+        """The text of each list of ids."""
+        n = len(ids)
+        flat = ids.flatten()
+        lengths = ids.value_lengths().fill_null(0).to_numpy()
+        doc = np.repeat(np.arange(n), lengths)
+        self._table("told", {"d": pa.array(doc, pa.int32()), "pos": pa.array(np.arange(len(doc)), pa.int64()), "r": flat})
+        got = self.db.sql("select d, list(b order by pos) l from told join vocabulary using (r) group by d").to_arrow_table()
+        out = [""] * n
+        for d, parts in zip(*(c.to_pylist() for c in got.columns)):
+            out[d] = b"".join(parts).decode("utf-8", "replace")
+        return out
+
     def learn(self, fresh: list[str]) -> None:
         """Gives each piece of ``fresh`` the next code and its ids."""
         cut = [self.pattern.findall(x) for x in fresh]
@@ -160,13 +185,26 @@ class Encoder:
         return pa.ListArray.from_arrays(pa.array(offsets[starts] - offsets[0], pa.int32()), got.flatten())
 
 
-def encoder(path: str) -> Encoder:
-    """The encoder of a vocabulary, one for each Python worker."""
+def encoder(path: str, spill: str | None = None) -> Encoder:
+    """The encoder of a vocabulary, one for each Python worker; its DuckDB spills to a folder of its own under ``spill``, if there is one."""
+    from pyspark import SparkFiles
+
     if path not in _READY:
-        _READY[path] = Encoder(path)
+        own = f"{spill}/{uuid.uuid4().hex[:12]}" if spill else ""
+        _READY[path] = Encoder(path if os.path.isabs(path) else SparkFiles.get(path), own)
     return _READY[path]
 
 
+def sent(spark: SparkSession, folder: str) -> tuple[str, str | None]:
+    """Sends the vocabulary in ``folder`` of the driver to the executors, once per application; gives the name it has there, and where to spill."""
+    context = spark.sparkContext
+    done = getattr(context, "_tripleflow_vocabularies", set())
+    if folder not in done:
+        context.addFile(f"{folder}/{VOCABULARY}")
+        context._tripleflow_vocabularies = done | {folder}
+    return VOCABULARY, local_path(new_path(spark, "duck"))
+
+
 def _batched(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
     for batch in batches:
         keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
@@ -182,24 +220,37 @@ def _batched(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
 
 def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folder: str = TOKENIZERS) -> DataFrame:
     """``(doc_id, ids)``: the token ids of each text, without special tokens."""
-    path = f"{folder}/{VOCABULARY}"
+    at_hand = sent(docs.sparkSession, folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, texts in _batched(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), encoder(path).encode(texts)], ["doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), encoder(*at_hand).encode(texts)], ["doc_id", "ids"])
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string")).mapInArrow(run, "doc_id long, ids array<int>")
 
 
+def decode(encoded: DataFrame, doc_id: str = "doc_id", ids: str = "ids", folder: str = TOKENIZERS) -> DataFrame:
+    """``(doc_id, text)``: the text of each list of ids."""
+    at_hand = sent(encoded.sparkSession, folder)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(encoder(*at_hand).decode(part.column(1)), pa.string())], ["doc_id", "text"])
+
+    return encoded.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(ids).cast("array<int>")).mapInArrow(run, "doc_id long, text string")
+
+
 def token_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folder: str = TOKENIZERS, keep: str | None = None) -> DataFrame:
     """``(doc_id, n_tokens)``, by the same queries, with the string column ``keep`` between them if it is given."""
-    path = f"{folder}/{VOCABULARY}"
+    at_hand = sent(docs.sparkSession, folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
             for keys, texts in _batched(iter([batch])):
-                n = encoder(path).encode(texts).value_lengths().cast(pa.int64())
+                n = encoder(*at_hand).encode(texts).value_lengths().cast(pa.int64())
                 kept = [batch.column(2).slice(at, len(keys))] if keep else []
                 at += len(keys)
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *kept, n], ["doc_id", *([keep] if keep else []), "n_tokens"])

@@ -12,6 +12,12 @@ from ..storage import ship, table
 from . import ann, bpe, mixing, overlap, reading, terms
 
 DIMENSION = 128
+# The domain of each source of the documents.
+DOMAINS = {
+    "ticket": "service", "chat": "service", "faq": "service", "forum_export": "service",
+    "runbook": "technical", "rule_note": "technical", "paper_note": "technical",
+    "run_log": "machine", "enquiry_json": "machine",
+}
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -53,10 +59,15 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode(table(spark, d, "documents"))
 
 
+def p8_text(spark: SparkSession, d: str) -> DataFrame:
+    """The texts, decoded from their ids."""
+    return bpe.decode(bpe.encode(table(spark, d, "documents")))
+
+
 def _sizes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     targets = table(spark, d, "source_targets")
     sizes = mixing.sized_documents(table(spark, d, "documents"), targets)
-    return sizes, mixing.plan(sizes, targets)
+    return sizes, mixing.plan(sizes, targets, spark.createDataFrame(list(DOMAINS.items()), "source string, domain string"))
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
@@ -91,7 +102,7 @@ def p10_profile(spark: SparkSession, d: str) -> DataFrame:
     return rounded.join(docs, "doc_id").groupBy("source", "reading_level").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_words").alias("n_words"))
 
 
-_ALL = (p3_found, p3_similar, p4_found, p4_terms, p6_found, p6_report, p8_ids, p9_found, p9_mix, p9_shares, p10_found, p10_levels, p10_profile)
+_ALL = (p3_found, p3_similar, p4_found, p4_terms, p6_found, p6_report, p8_ids, p8_text, p9_found, p9_mix, p9_shares, p10_found, p10_levels, p10_profile)
 
 
 def _shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -130,5 +141,6 @@ with v as (select id, entity_embeddings::double[{DIMENSION}] e from node_embeddi
 SQL: dict[str, str] = {
     "p3_found": _VECTORS + "select a.id id_a, b.id id_b from v a join v b on a.id < b.id where array_cosine_similarity(a.e, b.e) >= 0.9",
     "p4_found": _TERMS + "select field, term, mark from marked where mark is not null",
+    "p8_text": "select doc_id, coalesce(text, '') as text from documents",
     "p4_terms": _TERMS + "select field, term, n_rows, n_records, mark from marked",
 }
