@@ -69,8 +69,7 @@ def test_prefix_filter_loses_nothing(spark):
     want = set()
     for i, j in itertools.product(range(len(rows)), repeat=2):
         if rows[i][3] == "train" and rows[j][3] != "train":
-            t = overlap.SHORT_T if max(len(grams[i]), len(grams[j])) < overlap.SHORT else overlap.LONG_T
-            alike = len(grams[i] & grams[j]) >= t * len(grams[i] | grams[j]) - 1e-9
+            alike = len(grams[i] & grams[j]) >= overlap.LEAST * len(grams[i] | grams[j]) - 1e-9
             if fold[i] == fold[j] or alike and overlap.same_writing(fold[i], fold[j]):
                 want.add((i, j))
     assert len(want) > 120 and pairs(spark, rows) == want

@@ -8,7 +8,7 @@ Texts of a block are sets of shingles, the three-letter pieces of their folded w
 case or accents change. The shingles are ordered from rare to common; the prefix of a set of n holds its n - ceil(t n) + 1 rarest. Two sets
 with a Jaccard similarity of t share a shingle of their prefixes, so the prefixes of the evaluation side are indexed and those of the
 training side probe them, with the length and the position filter. The pairs left are verified, by the whole sets and then word by word.
-t is SHORT_T for sets of fewer than SHORT shingles, where a single slip changes much, else LONG_T; of a pair, the larger set's holds.
+t is LEAST for sets of any size: as low as slips in every word of a short text can bring it, and what it lets through is verified.
 
 Scale: one shuffle of the facts by block; what follows is over the facts with both sides only. Copies of a text are one class: classes are
 compared, and rows joined to their classes last.
@@ -33,10 +33,10 @@ from ..functions.text import entity_key, trimmed
 from ..functions.values import with_reading
 from ..storage import written
 
-SHORT, SHORT_T, LONG_T = 40, 0.3, 0.6
+LEAST = 0.3
 TRAIN, EVALUATION = "train", ("valid", "test")
-#: A word of up to so many letters may be left out in writing; words this long may differ by two slips, shorter ones by one.
-FILLER, LONG_WORD = 4, 5
+#: A word of up to so many letters (an article, a preposition) may be left out in writing; slips of a word may be this share of its letters.
+FILLER, SLIPS = 4, 0.4
 _TOKEN = re.compile(r"\d+|[^\W\d_]+")
 
 
@@ -76,9 +76,12 @@ def same_writing(a: str, b: str) -> bool:
     """Whether the words of two folded texts differ in the manner of writing only: order, slips, abbreviations, small words left out."""
     x, y = list((Counter(a.split()) - Counter(b.split())).elements()), list((Counter(b.split()) - Counter(a.split())).elements())
     for u in list(x):
-        near = [(slips(u, v, 2), v) for v in y]
-        near = [(n, v) for n, v in near if n <= (2 if min(len(u), len(v)) >= LONG_WORD else 1)]
-        if near and min(len(u), min(near)[1].__len__()) >= 3:
+        near = []
+        for v in y:
+            most = int(SLIPS * min(len(u), len(v)))
+            if most and (n := slips(u, v, most)) <= most:
+                near.append((n, v))
+        if near:
             x.remove(u)
             y.remove(min(near)[1])
     for u in list(x):
@@ -121,21 +124,19 @@ def text_classes(rows: DataFrame) -> DataFrame:
     return rows.where(F.col("words").isNotNull()).groupBy(*BLOCK, "words").agg(F.bool_or("ev").alias("ev"), F.bool_or(~F.col("ev")).alias("tr"), F.min("triple_id").alias("cid"))
 
 
-def class_pairs(classes: DataFrame, short: int = SHORT, short_t: float = SHORT_T, long_t: float = LONG_T) -> DataFrame:
+def class_pairs(classes: DataFrame, t: float = LEAST) -> DataFrame:
     """``(e, t)``: the classes of an evaluation and a training text that are the same but not equal in their folded words."""
-    t_of = lambda n: F.when(n < short, F.lit(short_t)).otherwise(F.lit(long_t))
     pieces = F.pandas_udf(lambda s: s.map(shingles), "array<string>")
     exploded = classes.select("cid", F.explode(pieces("words")).alias("g"))
     often = exploded.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
     ordered = exploded.join(often, "g").groupBy("cid").agg(F.array_sort(F.collect_list(F.struct("n", "g"))).alias("o"))
     sized = classes.join(ordered, "cid").withColumn("size", F.size("o"))
-    prefix = sized.withColumn("len", F.col("size") - F.ceil(t_of(F.col("size")) * F.col("size") - F.lit(1e-9)) + 1)
+    prefix = sized.withColumn("len", F.col("size") - F.ceil(t * F.col("size") - F.lit(1e-9)) + 1)
     posted = prefix.select("cid", *BLOCK, "ev", "tr", "size", F.posexplode(F.slice("o", F.lit(1), F.col("len").cast("int"))).alias("pos", "og")).withColumn("g", F.col("og.g")).drop("og")
     left = posted.where("ev").select(*BLOCK, "g", F.col("cid").alias("e"), F.col("size").alias("se"), F.col("pos").alias("pe"))
     right = posted.where("tr").select(*BLOCK, "g", F.col("cid").alias("t"), F.col("size").alias("st"), F.col("pos").alias("pt"))
     met = left.join(right, [*BLOCK, "g"]).where(F.col("e") != F.col("t"))
-    t = t_of(F.greatest("se", "st"))
-    least = F.ceil(t / (1 + t) * (F.col("se") + F.col("st")) - F.lit(1e-9))
+    least = F.ceil(F.lit(t / (1 + t)) * (F.col("se") + F.col("st")) - F.lit(1e-9))
     fits = (F.least("se", "st") >= t * F.greatest("se", "st") - F.lit(1e-9)) & (1 + F.least(F.col("se") - F.col("pe"), F.col("st") - F.col("pt")) - 1 >= least)
     candidates = met.where(fits).select("e", "t").distinct()
     texts = classes.select("cid", "words")
@@ -143,7 +144,6 @@ def class_pairs(classes: DataFrame, short: int = SHORT, short_t: float = SHORT_T
 
     def same(a: str, b: str) -> bool:
         x, y = set(shingles(a)), set(shingles(b))
-        t = short_t if max(len(x), len(y)) < short else long_t
         return len(x & y) >= t * len(x | y) - 1e-9 and same_writing(a, b)
 
     check = F.pandas_udf(lambda a, b: a.combine(b, same).astype(bool), "boolean")
