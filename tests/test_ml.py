@@ -7,7 +7,7 @@ def test_trees_learn_and_give_rules(spark):
     got = ml.probability(model, rows).collect()
     assert all((r.p > 0.5) == (r.y == 1) for r in got)
     rules = ml.tree_rules(model, ["a", "b"], least=0.5)
-    assert rules and all(t.startswith("valid(X) <= ") and "(X,a," in t for t, _ in rules)
+    assert rules and all(t.startswith("valid_data(X) <= " if v > 0 else "invalid_data(X) <= ") and "(a(X), " in t for t, v in rules) and any(v < 0 for _, v in rules)
     assert ml.importances(model, ["a", "b"])[0][0] == "a"
 
 

@@ -89,9 +89,15 @@ def test_nested_search(spark):
 
 
 def test_text_to_triples(spark):
-    text = '{\nid: c1\nname: Ana Lima\na\tlikes\tb\nplan: x\nred green blue\nsince: 1970-01-01\n"one two three\nfree text of five words\n}'
-    got = [(r.s, r.p, r.o) for r in triples.text_to_triples(spark.createDataFrame([(7, text)], "id long, t string"), "id", "t").orderBy("line").collect()]
-    assert got == [("c1", "id", "c1"), ("c1", "name", "Ana Lima"), ("a", "likes", "b"), ("a", "plan", "x"), ("red", "green", "blue"), ("red", "line_7", '"one two three'), ("red", "line_8", "free text of five words")]
+    lines = [
+        "{", "id: A1", '"name": "Ana",', "\tqux: 3", "empty:", "note: {", "a b c", "one two three four five", "s1\tp 1\to\t1", "two words", '"quoted line here', "1970-01-01 was it",
+        "date: 9999-12-31T00", "id: 1970-01-01", "after: x", "],", "http://x/y: 1", "",
+    ]
+    got = [tuple(r) for r in triples.text_to_triples(spark.createDataFrame([(7, "\n".join(lines)), (8, None), (9, "\r\n key : v \r\n")], "id long, t string"), "id", "t").orderBy("doc_id", "line").collect()]
+    assert got == [
+        (7, 1, "A1", "id", "A1"), (7, 2, "A1", "name", "Ana"), (7, 3, "A1", "qux", "3"), (7, 4, "A1", "line_4", "empty:"), (7, 6, "a", "b", "c"), (7, 7, "one", "two", "three four five"),
+        (7, 8, "s1", "p 1", "o 1"), (7, 9, "s1", "line_9", "two words"), (7, 10, "s1", "line_10", '"quoted line here'), (7, 14, "s1", "after", "x"), (7, 16, "s1", "http", "//x/y: 1"), (9, 1, "document_9", "key", "v"),
+    ]
 
 
 def test_tasks_and_rows(spark):

@@ -38,3 +38,21 @@ def is_upper(c: Column) -> Column:
 def capitalized(c: Column) -> Column:
     """First character in upper case, the rest in lower case."""
     return F.concat(F.upper(F.substring(c, 1, 1)), F.lower(c.substr(F.lit(2), F.length(c))))
+
+
+def normalized_url(c: Column) -> Column:
+    """A URL as a template: without query, numbers and long hexadecimal parts of the path named, without trailing slashes, lower case."""
+    for pattern, by in ((r"\?.*$", ""), (r"/[0-9]+(?=/|$)", "/{id}"), (r"/[0-9a-fA-F-]{16,}(?=/|$)", "/{hex}"), (r"/+$", "")):
+        c = F.regexp_replace(c, pattern, by)
+    return F.lower(c)
+
+
+def msisdn_of(name: Column) -> Column:
+    """The number at the end of a file name ``..._<msisdn>.txt``, else the empty text."""
+    return F.regexp_extract(name, r"_([^_/]+)\.txt$", 1)
+
+
+def literals_of(rule: Column) -> Column:
+    """The texts between single or double quotes in a rule, in order."""
+    quoted = F.regexp_extract_all(rule, F.lit(r"'([^']*)'|\"([^\"]*)\""), F.lit(0))
+    return F.transform(quoted, lambda q: q.substr(F.lit(2), F.length(q) - 2))

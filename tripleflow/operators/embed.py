@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import written
+
 
 def doubles(v: Column) -> Column:
     return v.cast("array<double>")
@@ -144,45 +146,107 @@ def sample_weights(rows: DataFrame, active: str) -> DataFrame:
     return rows.crossJoin(F.broadcast(mean)).withColumn("weight", F.round(w / F.col("mean"), 9)).drop("mean")
 
 
+#: Entities of a block of vectors in training, and relations that every task holds at most.
+BLOCK, MAX_RELATIONS = 8192, 100_000
+
+
+def _start(n: int, dim: int, seed: int, kind: str, spark) -> DataFrame:
+    """``(id, v)`` with numbers that the hash of id, place and seed gives, uniform within 6 / sqrt(dim)."""
+    one = lambda i: (F.pmod(F.xxhash64("id", i, F.lit(f"{kind}{seed}")), F.lit(2_000_001)) - 1_000_000) / F.lit(1e6) * F.lit(6 / dim**0.5)
+    return spark.range(n).select("id", F.transform(F.sequence(F.lit(1), F.lit(dim)), one).alias("v"))
+
+
+def _vector_blocks(vectors: DataFrame, n_blocks: int, unit: bool) -> DataFrame:
+    """``(block, ids, vectors)``, with ``unit`` the vectors of length one."""
+
+    def pack(t: pa.Table) -> pa.Table:
+        t = t.sort_by("id").combine_chunks()
+        v = t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        v = v.reshape(len(t), -1)
+        v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12) if unit else v
+        return pa.table([t.column("block").slice(0, 1), pa.array([t.column("id").to_numpy().tobytes()], pa.binary()), pa.array([v.tobytes()], pa.binary())], names=["block", "ids", "vectors"])
+
+    return vectors.withColumn("block", F.pmod("id", F.lit(n_blocks)).cast("int")).groupBy("block").applyInArrow(pack, "block int, ids binary, vectors binary")
+
+
+def _train_cell(e: np.ndarray, r: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray, margin: float, rate: float, dice: np.random.Generator) -> None:
+    """One pass of descent over facts (a, b, c), places in e and r, which it changes; each fact against one with a corrupted end."""
+    for at in range(0, len(a), 256):
+        h, p, t = a[at : at + 256], b[at : at + 256], c[at : at + 256]
+        bad, swap = dice.integers(0, len(e), len(h)), dice.random(len(h)) < 0.5
+        h2, t2 = np.where(swap, bad, h), np.where(swap, t, bad)
+        d, d2 = e[h] + r[p] - e[t], e[h2] + r[p] - e[t2]
+        n, n2 = (np.linalg.norm(x, axis=1, keepdims=True) + 1e-9 for x in (d, d2))
+        on = (margin + n - n2 > 0).astype(float) * rate
+        g, g2 = on * d / n, on * d2 / n2
+        for m, ids, grad in ((e, h, -g), (e, t, g), (r, p, g2 - g), (e, h2, g2), (e, t2, -g2)):
+            np.add.at(m, ids, grad)
+
+
 def train_transe(indexed: DataFrame, n_entities: int, n_relations: int, dim: int = 16, epochs: int = 5, margin: float = 1.0, rate: float = 0.05, seed: int = 42) -> DataFrame:
-    """``(kind, id, v)``: TransE vectors by averaged stochastic descent. Each epoch, every partition of (s_id, p_id, o_id) trains a copy of the
-    vectors on its own triples, and the copies are averaged by how often they touched an id. Vectors on the driver: bounded, checked. An action."""
-    if (n_entities + n_relations) * dim > 50_000_000:
-        raise ValueError("more vectors than fit on the driver")
-    rng = np.random.default_rng(seed)
-    ent, rel = (rng.uniform(-1, 1, (n, dim)) * (6 / dim**0.5) for n in (max(1, n_entities), max(1, n_relations)))
+    """``(kind, id, v)``: TransE vectors by averaged stochastic descent over (s_id, p_id, o_id). An action.
+
+    Entities are in blocks of about BLOCK. A task takes the facts between two blocks with the vectors of just these, and trains a copy of them;
+    corrupted ends are of the same blocks. After each epoch the moves of a vector are averaged over the tasks that changed it. The vectors are tables in the shared
+    folder and never on the driver; the relations, at most MAX_RELATIONS, go to every task."""
+    if n_relations > MAX_RELATIONS:
+        raise ValueError(f"more than {MAX_RELATIONS} relations")
     spark = indexed.sparkSession
-    data = indexed.select("s_id", "p_id", "o_id")
+    n_blocks = max(1, -(-n_entities // BLOCK))
+    part = lambda c: F.pmod(c, F.lit(n_blocks)).cast("int")
+    rows = indexed.select(part("s_id").alias("bs"), part("o_id").alias("bo"), "s_id", "p_id", "o_id").distinct()
+    # a cell of very many facts is several
+    sliced = rows.withColumn("slice", F.pmod(F.xxhash64("s_id", "p_id", "o_id"), F.lit(16)).cast("int"))
+
+    def pack(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("s_id", "ascending"), ("p_id", "ascending"), ("o_id", "ascending")]).combine_chunks()
+        cols = [pa.array([t.column(n).to_numpy().astype(np.int64).tobytes()], pa.binary()) for n in ("s_id", "p_id", "o_id")]
+        return pa.table([*(t.column(n).slice(0, 1) for n in ("bs", "bo", "slice")), *cols], names=["bs", "bo", "slice", "s", "p", "o"])
+
+    cells = written(sliced.groupBy("bs", "bo", "slice").applyInArrow(pack, "bs int, bo int, slice int, s binary, p binary, o binary"), "cells")
+    ent, rel = written(_start(n_entities, dim, seed, "e", spark), "entities"), written(_start(n_relations, dim, seed, "r", spark), "relations")
     for epoch in range(epochs):
-        ent /= np.maximum(np.linalg.norm(ent, axis=1, keepdims=True), 1e-12)
-        sent = spark.sparkContext.broadcast((ent, rel))
-
-        def step(batches: Iterator[pa.RecordBatch], sent=sent, epoch=epoch) -> Iterator[pa.RecordBatch]:
-            e, r = (x.copy() for x in sent.value)
-            e0, r0 = sent.value
-            touched: set[tuple[str, int]] = set()
-            dice = np.random.default_rng(seed + epoch)
+        blocks = written(_vector_blocks(ent, n_blocks, True), "blocks")
+        relations = F.broadcast(_vector_blocks(rel.withColumn("id", F.col("id") * n_blocks), n_blocks, False).select(F.col("ids").alias("r_ids"), F.col("vectors").alias("r_vectors")))
+        named = lambda side: blocks.toDF(f"b{side}", f"{side}_ids", f"{side}_vectors")
+        met = cells.join(named("s"), "bs").join(named("o"), "bo").crossJoin(relations).select("bs", "bo", "slice", "s", "p", "o", "s_ids", "s_vectors", "o_ids", "o_vectors", "r_ids", "r_vectors")
+
+        def step(batches: Iterator[pa.RecordBatch], epoch=epoch) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                h, p, t = (batch.column(i).to_numpy() for i in range(3))
-                for at in range(0, len(h), 256):
-                    a, b, c = h[at : at + 256], p[at : at + 256], t[at : at + 256]
-                    bad = dice.integers(0, len(e), len(a))
-                    swap = dice.random(len(a)) < 0.5
-                    a2, c2 = np.where(swap, bad, a), np.where(swap, c, bad)
-                    d, d2 = e[a] + r[b] - e[c], e[a2] + r[b] - e[c2]
-                    n, n2 = (np.linalg.norm(x, axis=1, keepdims=True) + 1e-9 for x in (d, d2))
-                    on = (margin + n - n2 > 0).astype(float) * rate
-                    g, g2 = on * d / n, on * d2 / n2
-                    for m, ids, grad in ((e, a, -g), (e, c, g), (r, b, g2 - g), (e, a2, g2), (e, c2, -g2)):
-                        np.add.at(m, ids, grad)
-                    touched |= {("e", int(x)) for x in np.concatenate([a, c, a2, c2])} | {("r", int(x)) for x in b}
-            rows = sorted(touched)
-            out = [((e if k == "e" else r)[i] - (e0 if k == "e" else r0)[i]).tolist() for k, i in rows]
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.string()), pa.array([i for _, i in rows], pa.int64()), pa.array(out, pa.list_(pa.float64()))], ["kind", "id", "v"])
-
-        deltas = mean_vectors(data.mapInArrow(step, "kind string, id long, v array<double>").select(F.concat_ws(":", "kind", F.col("id").cast("string")).alias("key"), "v"), "key", "v")
-        for row in deltas.toLocalIterator():
-            kind, i = row.key.split(":")
-            (ent if kind == "e" else rel)[int(i)] += np.array(row.v)
-    rows = [("entity", i, v.tolist()) for i, v in enumerate(ent)] + [("relation", i, v.tolist()) for i, v in enumerate(rel)]
-    return spark.createDataFrame(rows, "kind string, id long, v array<double>")
+                for k in range(batch.num_rows):
+                    bs, bo, piece, s, p, o, s_ids, s_v, o_ids, o_v, r_ids, r_v = (batch.column(c)[k].as_py() for c in range(12))
+                    ints = lambda x: np.frombuffer(x, np.int64)
+                    nums = lambda x: np.frombuffer(x, np.float64).reshape(-1, dim)
+                    ids, v = (ints(s_ids), nums(s_v)) if bs == bo else (np.concatenate([ints(s_ids), ints(o_ids)]), np.concatenate([nums(s_v), nums(o_v)]))
+                    order = np.argsort(ids)
+                    ids, e0, rids, r0 = ids[order], v[order], ints(r_ids), nums(r_v)
+                    e, r = e0.copy(), r0.copy()
+                    mix = np.random.default_rng([seed, epoch, bs, bo, piece])
+                    turn = mix.permutation(len(ints(s)))
+                    a, b, c = np.searchsorted(ids, ints(s))[turn], np.searchsorted(rids, ints(p) * n_blocks)[turn], np.searchsorted(ids, ints(o))[turn]
+                    _train_cell(e, r, a, b, c, margin, rate, mix)
+                    for kind, keys, new, old in (("e", ids, e, e0), ("r", rids // n_blocks, r, r0)):
+                        hit = np.nonzero((new != old).any(axis=1))[0]
+                        if len(hit):
+                            flat = pa.ListArray.from_arrays(pa.array(np.arange(len(hit) + 1) * dim, pa.int32()), pa.array((new[hit] - old[hit]).ravel()))
+                            yield pa.RecordBatch.from_arrays([pa.array([kind] * len(hit)), pa.array(keys[hit]), flat], ["kind", "id", "d"])
+
+        moves = written(met.mapInArrow(step, "kind string, id long, d array<double>"), "moves")
+        mean = moves.select("kind", "id", F.posexplode("d").alias("i", "x")).groupBy("kind", "id", "i").agg(F.avg("x").alias("x"))
+        whole = mean.groupBy("kind", "id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda z: z["x"]).alias("d"))
+        unit = lambda v: F.transform(v, lambda x: x / F.greatest(norm(v), F.lit(1e-12)))
+        add = lambda df, kind: df.join(whole.where(F.col("kind") == kind).select("id", "d"), "id", "left").select("id", F.when(F.col("d").isNull(), F.col("v")).otherwise(F.zip_with("v", "d", lambda x, y: x + y)).alias("v"))
+        ent = written(add(ent.withColumn("v", unit(F.col("v"))), "e"), "entities")
+        rel = written(add(rel, "r"), "relations")
+    return ent.select(F.lit("entity").alias("kind"), "id", "v").unionByName(rel.select(F.lit("relation").alias("kind"), "id", "v"))
+
+
+def vectors_of(labels: DataFrame, entities: DataFrame) -> DataFrame:
+    """``(label, v)`` of the wanted labels; null where there is no vector."""
+    return labels.select("label").join(entities.select("label", "v"), "label", "left")
+
+
+def statistics(vectors: DataFrame) -> DataFrame:
+    """One row over vectors (kind, id, v): entities, relations, dimension and numbers in all."""
+    n = lambda kind: F.count_if(F.col("kind") == kind)
+    return vectors.agg(n("entity").alias("n_entities"), n("relation").alias("n_relations"), F.max(F.size("v")).alias("dim"), F.coalesce(F.sum(F.size("v")), F.lit(0)).cast("long").alias("n_numbers"))

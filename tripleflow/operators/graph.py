@@ -50,10 +50,10 @@ def balance_relations(t: DataFrame, least: int = 50) -> DataFrame:
     return t.join(relation_support(t, least).select("p"), "p", "left_semi").select(*t.columns)
 
 
-def percentile_filter(t: DataFrame, share: float = 0.05) -> DataFrame:
-    """Triples whose ends have at least max(2, the percentile of degrees, cut to a whole number) rows."""
+def percentile_filter(t: DataFrame, share: float = 0.05, at_least: int = 2) -> DataFrame:
+    """Triples whose ends have at least max(``at_least``, the percentile of degrees, cut to a whole number) rows."""
     d = degree_rows(t)
-    least = d.agg(F.greatest(F.lit(2), F.floor(F.percentile("degree", F.lit(share)))).alias("least"))
+    least = d.agg(F.greatest(F.lit(at_least), F.floor(F.percentile("degree", F.lit(share)))).alias("least"))
     return keep_entities(t, d.crossJoin(F.broadcast(least)).where(F.col("degree") >= F.col("least")))
 
 
@@ -166,12 +166,19 @@ def meta_edges(t: DataFrame) -> DataFrame:
 
 def meta_paths(t: DataFrame, hops: int = 2) -> DataFrame:
     """``(path, n)``: walks of ``hops`` triples by their types and relations. Walks are counted by end point and path, step by step, so no walk
-    is ever a row of its own, however many run through a hub."""
+    is ever a row of its own, however many run through a hub. The last step needs no end points: its triples are counted by start,
+    relation and type first."""
     e = t.select("s", "p", "o").distinct()
-    state = e.select("o", F.concat_ws(" ", entity_type(F.col("s")), "p", entity_type(F.col("o"))).alias("path")).groupBy("o", "path").agg(F.count(F.lit(1)).alias("n"))
-    for _ in range(hops - 1):
-        step = state.withColumnRenamed("o", "s").join(e, "s")
-        state = step.groupBy("o", F.concat_ws(" ", "path", "p", entity_type(F.col("o"))).alias("path")).agg(F.sum("n").alias("n"))
+    state = e.groupBy("o", F.concat_ws(" ", entity_type(F.col("s")), "p", entity_type(F.col("o"))).alias("path")).agg(F.count(F.lit(1)).alias("n"))
+    for step in range(hops - 1):
+        last = step == hops - 2
+        if last:
+            out = e.groupBy("s", F.concat_ws(" ", "p", entity_type(F.col("o"))).alias("more")).agg(F.count(F.lit(1)).alias("m"))
+            met = state.withColumnRenamed("o", "s").join(out, "s")
+            state = met.groupBy(F.concat_ws(" ", "path", "more").alias("path")).agg(F.sum(F.col("n") * F.col("m")).alias("n"))
+        else:
+            met = state.withColumnRenamed("o", "s").join(e, "s")
+            state = met.groupBy("o", F.concat_ws(" ", "path", "p", entity_type(F.col("o"))).alias("path")).agg(F.sum("n").alias("n"))
     return state.groupBy("path").agg(F.sum("n").alias("n"))
 
 
@@ -214,8 +221,9 @@ def corrupt(t: DataFrame, entities: DataFrame, per_triple: int = 1, seed: int =
     """Negative triples ``(s, p, o)``: head or tail replaced by an entity of the dense map (id, label), chosen by a hash; never a known triple."""
     n = entities.agg(F.greatest(F.count(F.lit(1)), F.lit(1)).alias("n"))
     tries = t.select("s", "p", "o").distinct().withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(per_triple))))
-    h = F.xxhash64(F.lit(seed), "s", "p", "o", "k")
-    picked = tries.crossJoin(F.broadcast(n)).withColumn("id", F.pmod(h, F.col("n"))).withColumn("head", F.pmod(F.shiftright(h, 33), F.lit(2)) == 0)
+    h = F.md5(F.concat_ws("|", F.lit(seed), "s", "p", "o", "k"))
+    number = F.conv(F.substring(h, 1, 15), 16, 10).cast("bigint")
+    picked = tries.crossJoin(F.broadcast(n)).withColumn("id", F.pmod(number, F.col("n"))).withColumn("head", F.substring(h, 16, 1) < "8")
     with_label = picked.join(entities.select("id", "label"), "id")
     made = with_label.select(F.when(F.col("head"), F.col("label")).otherwise(F.col("s")).alias("s"), "p", F.when(F.col("head"), F.col("o")).otherwise(F.col("label")).alias("o"))
     return made.join(t.select("s", "p", "o").distinct(), ["s", "p", "o"], "left_anti").select("s", "p", "o")

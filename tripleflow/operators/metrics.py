@@ -13,11 +13,14 @@ def _r(c: Column, name: str) -> Column:
 
 
 def mrr_hits(scores: DataFrame, query: list[str], score: str, cand: str, true: str, k: int = 10) -> DataFrame:
-    """One row: over the true candidates, the mean of 1 / rank and the shares within 1, 3 and ``k``; ranks are ordinal within the query."""
-    ranks = scores.withColumn("rank", F.row_number().over(Window.partitionBy(*query).orderBy(F.col(score).desc(), cand))).where(F.col(true) == 1)
+    """One row: over the true candidates, the mean of 1 / rank and the shares within 1, 3 and ``k``; ranks are ordinal within the query.
+    ``n_queries`` counts all queries. Without a true candidate the metrics are 0 and ``n_queries`` is the number of rows."""
+    ranks = scores.withColumn("rank", F.row_number().over(Window.partitionBy(*query).orderBy(F.col(score).desc(), cand)))
+    hit = F.col(true) == 1
+    mean = lambda c, name: _r(F.coalesce(F.avg(F.when(hit, c)), F.lit(0.0)), name)
     return ranks.agg(
-        F.count(F.lit(1)).alias("n_true"), F.countDistinct(*query).alias("n_queries"), _r(F.avg(1 / F.col("rank")), "mrr"),
-        *(_r(F.avg((F.col("rank") <= n).cast("double")), f"hits_{n}") for n in sorted({1, 3, k})),
+        F.count_if(hit).alias("n_true"), F.when(F.count_if(hit) > 0, F.countDistinct(*query)).otherwise(F.count(F.lit(1))).alias("n_queries"), mean(1 / F.col("rank"), "mrr"),
+        *(mean((F.col("rank") <= n).cast("double"), f"hits_{n}") for n in sorted({1, 3, k})),
     )
 
 
@@ -84,9 +87,25 @@ def class_stats(scores: DataFrame, score: str, label: str, threshold: float = 0.
     return scores.groupBy(label).agg(F.count(F.lit(1)).alias("n"), _r(F.avg(score), "mean"), _r(F.stddev_pop(score), "std"), F.min(score).alias("low"), F.max(score).alias("high"), _r(F.avg(right.cast("double")), "accuracy"))
 
 
+def exact_quantiles(scores: DataFrame, score: str, shares: tuple[float, ...]) -> DataFrame:
+    """One row ``q``: the exact quantiles, interpolated between neighbours, from running counts over the distinct scores: no task holds them all."""
+    per = scores.where(F.col(score).isNotNull()).groupBy(F.col(score).cast("double").alias("x")).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    c = running(per, ["x"], {"upto": "n"})
+    total = c.agg(F.sum("n").alias("all"))
+    j = c.crossJoin(F.broadcast(total))
+    picked = []
+    for i, share in enumerate(shares):
+        at = F.lit(share) * (F.col("all") - 1)
+        lo, hi = F.floor(at), F.ceil(at)
+        holds = lambda k: (k < F.col("upto")) & (k >= F.col("upto") - F.col("n"))
+        picked += [F.max(F.when(holds(lo), F.col("x"))).alias(f"lo{i}"), F.max(F.when(holds(hi), F.col("x"))).alias(f"hi{i}"), F.max(at - lo).alias(f"f{i}")]
+    one = j.agg(*picked)
+    return one.select(F.array(*(F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * F.col(f"f{i}") for i in range(len(shares)))).alias("q"))
+
+
 def quartile_stats(scores: DataFrame, score: str, label: str) -> DataFrame:
     """Per quartile of the score, both ends included (so a score on an edge is in two): count and share of positives; edges 0 and 1."""
-    q = scores.agg(F.percentile(score, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    q = exact_quantiles(scores, score, (0.25, 0.5, 0.75))
     edges = F.concat(F.array(F.lit(0.0)), F.col("q"), F.array(F.lit(1.0)))
     spans = q.select(F.posexplode(F.arrays_zip(F.slice(edges, 1, 4).alias("lo"), F.slice(edges, 2, 4).alias("hi"))).alias("quartile", "e")).select(F.col("quartile") + 1, "e.*").toDF("quartile", "lo", "hi")
     hits = scores.join(F.broadcast(spans), (F.col(score) >= F.col("lo")) & (F.col(score) <= F.col("hi")))
@@ -122,3 +141,63 @@ def isotonic(scores: DataFrame, score: str, label: str) -> DataFrame:
 
     data = scores.withColumn("__y", F.col(label).cast("double")).withColumn("__x", F.col(score).cast("double"))
     return IsotonicRegression(featuresCol="__x", labelCol="__y", predictionCol="calibrated").fit(data).transform(data).drop("__y", "__x")
+
+
+def all_metrics(scores: DataFrame, score: str, tie: str, label: str) -> DataFrame:
+    """One row, the whole table as one query: mrr, hits at 1, 3 and 10, areas under both curves, ndcg at 10 and accuracy above 0.5. With one class
+    only, the areas are 0.5 and the share of positives."""
+    firsts = single_query(scores, score, tie, label, 1).select("mrr", F.col("hits").alias("hits_1"))
+    for k in (3, 10):
+        firsts = firsts.crossJoin(single_query(scores, score, tie, label, k).select(F.col("hits").alias(f"hits_{k}")))
+    y = F.col(label).cast("double")
+    shares = scores.agg(_r(F.avg(((F.col(score) > 0.5).cast("int") == F.col(label)).cast("double")), "accuracy"), F.avg(y).alias("__share"), F.countDistinct(label).alias("__classes"))
+    gain = ndcg(scores.withColumn("__q", F.lit(1)), ["__q"], score, tie, label).select(F.coalesce("ndcg", F.lit(0.0)).alias("ndcg_10"))
+    j = firsts.crossJoin(roc_auc(scores, score, label)).crossJoin(average_precision(scores, score, label)).crossJoin(gain).crossJoin(shares)
+    return j.withColumn("average_precision", F.when(F.col("__classes") > 1, F.col("average_precision")).otherwise(F.round("__share", 9))).drop("__share", "__classes")
+
+
+def trials(runs: DataFrame, value: str, state: str) -> DataFrame:
+    """One row over the trials of a search: how many there are, ended and failed, the best value, and the mean and sample deviation of all values."""
+    return runs.agg(
+        F.count(F.lit(1)).alias("n_trials"), F.count_if(F.col(state) == "COMPLETE").alias("n_complete"), F.count_if(F.col(state) == "FAIL").alias("n_failed"), F.max(value).alias("best"),
+        _r(F.coalesce(F.avg(value), F.lit(0.0)), "mean"), _r(F.coalesce(F.stddev_samp(value), F.lit(0.0)), "std"),
+    )
+
+
+def patience(losses: DataFrame, by: list[str], epoch: str, loss: str, most: int, least_gain: float = 0.0) -> DataFrame:
+    """``losses`` with ``best`` (the least loss up to an epoch), ``waited`` (epochs since it fell by more than ``least_gain``) and ``stopped`` (whether training has ended by then)."""
+    w = Window.partitionBy(*by).orderBy(epoch)
+    before = F.min(loss).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    better = before.isNull() | (F.col(loss) < before - least_gain)
+    placed = losses.withColumns({"best": F.min(loss).over(w.rowsBetween(Window.unboundedPreceding, 0)), "__n": F.row_number().over(w), "__better": better})
+    since = F.max(F.when(F.col("__better"), F.col("__n"))).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    waited = placed.withColumn("waited", (F.col("__n") - since).cast("int"))
+    stop = F.max((F.col("waited") >= most).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)) == 1
+    return waited.withColumn("stopped", stop).drop("__n", "__better")
+
+
+def raw_rank(scores: DataFrame, query: list[str], score: str, true: str) -> DataFrame:
+    """``(query, rank)``: one more than the candidates that score above the best true one of each query; queries without a true one have none."""
+    own = scores.where(F.col(true) == 1).groupBy(*query).agg(F.max(score).alias("__t"))
+    return scores.join(own, query).groupBy(*query).agg((F.count_if(F.col(score) > F.col("__t")) + 1).alias("rank"))
+
+
+def spread(df: DataFrame, rows: list[str], columns: str, names: list, value: str) -> DataFrame:
+    """A row per ``rows`` with a column for each of ``names``: the first value there."""
+    return df.groupBy(*rows).pivot(columns, names).agg(F.first(value, ignorenulls=True))
+
+
+def experiments(runs: DataFrame, metric: str, start: str, end: str) -> DataFrame:
+    """Runs with a metric by falling metric, with their duration in minutes and place; nulls drop out."""
+    place = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.col(metric).desc(), start))
+    minutes = F.round((F.col(end).cast("double") - F.col(start).cast("double")) / 60, 6)
+    return runs.where(F.col(metric).isNotNull()).withColumns({"minutes": minutes, "place": place})
+
+
+def balance(importances: DataFrame, order: str, value: str) -> DataFrame:
+    """One row: the shares of the first feature (hybrid) and of the others (symbolic), and whether that is balanced, partly, or not."""
+    first = F.min_by(value, order)
+    parts = importances.agg(first.alias("h"), (F.sum(value) - first).alias("s"))
+    total = F.nullif(F.col("h") + F.col("s"), F.lit(0.0))
+    shares = parts.select(_r(F.col("h") / total, "hybrid"), _r(F.col("s") / total, "symbolic"))
+    return shares.withColumn("verdict", F.when(F.col("symbolic") >= 0.15, "balanced").when(F.col("symbolic") >= 0.05, "partial").when(F.col("symbolic").isNotNull(), "failed"))

@@ -54,14 +54,19 @@ _LEAF = re.compile(r"^(\s*)Predict: ([-\d.E]+)$")
 
 
 def tree_rules(model: PipelineModel, features: list[str], least: float = 0.0) -> list[tuple[str, float]]:
-    """(text, value) of the paths of the trees of a boosted model to leaves of at least ``least``: ``valid(X) <= lessEqual(X,a,0.1), greater(X,b,2)``."""
+    """(text, value) of the paths of the trees of a boosted model to leaves whose value is at least ``least`` in absolute terms:
+    ``valid_data(X) <= lessThan(a(X), 0.1000), greaterEqual(b(X), 2.0000)``, or ``invalid_data`` if the value isn't positive. Names of features lose
+    blanks and underscores. A tree of one leaf has no path and gives no rule.
+
+    Spark's trees send a value equal to a threshold to the lower side; thresholds lie between the values seen."""
     out, path = [], []
     for line in model.stages[-1].toDebugString.splitlines():
         if m := _SPLIT.match(line):
             path = [p for p in path if p[0] < len(m[1])]
-            path.append((len(m[1]), f"{'lessEqual' if m[4] == '<=' else 'greater'}(X,{features[int(m[3])]},{float(m[5]):.4f})"))
-        elif (m := _LEAF.match(line)) and float(m[2]) >= least:
-            out.append(("valid(X) <= " + ", ".join(p[1] for p in path if p[0] < len(m[1])), float(m[2])))
+            name = re.sub("[_ ]", "", features[int(m[3])])
+            path.append((len(m[1]), f"{'lessThan' if m[4] == '<=' else 'greaterEqual'}({name}(X), {float(m[5]):.4f})"))
+        elif (m := _LEAF.match(line)) and abs(float(m[2])) >= least and (conditions := [p[1] for p in path if p[0] < len(m[1])]):
+            out.append((f"{'valid_data' if float(m[2]) > 0 else 'invalid_data'}(X) <= " + ", ".join(conditions), float(m[2])))
         elif line.lstrip().startswith("Tree "):
             path = []
     return out

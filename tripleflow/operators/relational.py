@@ -88,10 +88,69 @@ def union_diagonal(frames: list[DataFrame]) -> DataFrame:
 
 
 def upsert_latest(kept: DataFrame, new: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """One row per key, the last in ``order`` (new rows come last)."""
+    """One row per key, the last in ``order`` (new rows come last). Combined where the rows are, so a hot key costs a row per task."""
     both = kept.withColumn("__new", F.lit(0)).unionByName(new.withColumn("__new", F.lit(1)))
-    last = Window.partitionBy(key).orderBy(F.col("__new").desc(), *(F.col(c).desc() for c in order))
-    return both.withColumn("__rn", F.row_number().over(last)).where("__rn = 1").drop("__rn", "__new")
+    whole = F.struct(*(F.col(f"`{c}`") for c in kept.columns))
+    return both.groupBy(F.col(key).alias("__key")).agg(F.max_by(whole, F.struct("__new", *order)).alias("__row")).select("__row.*")
+
+
+def touched(kept: DataFrame, new: DataFrame, key: str, at: str = "updated_at") -> DataFrame:
+    """``kept`` after ``new`` is put in by ``key``: rows that change get the current time in ``at``, those that don't keep theirs. ``new`` has a row per key."""
+    values = [c for c in kept.columns if c not in (key, at)]
+    j = kept.withColumn("__old", F.lit(True)).alias("a").join(new.withColumn("__in", F.lit(True)).alias("b"), key, "full")
+    differs = reduce(lambda x, y: x | y, (~F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in values), F.col("__old").isNull())
+    moved = F.col("__in").isNotNull() & differs
+    cols = {c: F.when(F.col("__in").isNotNull(), F.col(f"b.{c}")).otherwise(F.col(f"a.{c}")) for c in values}
+    return j.select(key, *(v.alias(c) for c, v in cols.items()), F.when(moved, F.current_timestamp()).otherwise(F.col(f"a.{at}")).alias(at)).select(*kept.columns)
+
+
+def update_from(df: DataFrame, other: DataFrame, key: str, other_key: str, column: str, default: Any = None) -> DataFrame:
+    """``df`` with ``column`` of the row of ``other`` that its key names, else the default; ``other`` has a row per key."""
+    there = other.select(F.col(other_key).alias("__k"), F.col(column).alias("__v"))
+    return df.join(there, df[key] == F.col("__k"), "left").withColumn(column, F.coalesce("__v", F.lit(default)) if default is not None else F.col("__v")).drop("__k", "__v")
+
+
+def top_by(df: DataFrame, value: str, tie: str, n: int = 10) -> DataFrame:
+    """The ``n`` rows of greatest value, ties by the smaller ``tie``; nulls don't count."""
+    return df.where(F.col(value).isNotNull()).orderBy(F.col(value).desc(), tie).limit(n)
+
+
+def lookup_strict(df: DataFrame, key: str, labels: DataFrame, name: str = "id") -> DataFrame:
+    """``df`` with the id of its ``key`` in the map (id, label); a key that isn't there is an error when the row is read."""
+    j = df.join(labels.select(F.col("label").alias(key), F.col("id").alias("__id")), key, "left")
+    missing = F.raise_error(F.concat(F.lit("not in the map: "), F.coalesce(F.col(key).cast("string"), F.lit("null"))))
+    return j.withColumn(name, F.when(F.col("__id").isNull(), missing.cast("long")).otherwise(F.col("__id"))).drop("__id")
+
+
+def predicate_counts(t: DataFrame, doc: str, names: list[str]) -> DataFrame:
+    """A row per document with a column per predicate of ``names``, in that order: how often it occurs."""
+    return t.groupBy(doc).agg(*(F.count_if(F.col("p") == n).alias(n) for n in names))
+
+
+def group_samples(t: DataFrame, sample: str, order: str) -> DataFrame:
+    """``(sample, triples)``: the triples of each sample in order; a row without a sample is one of its own, by its ``order``. A sample fits in memory."""
+    own = F.coalesce(F.col(sample).cast("string"), F.concat(F.lit("row_"), F.col(order).cast("string")))
+    got = t.groupBy(own.alias("sample")).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("k"), "s", "p", "o"))).alias("l"))
+    return got.select("sample", F.transform("l", lambda x: F.struct(x["s"].alias("s"), x["p"].alias("p"), x["o"].alias("o"))).alias("triples"))
+
+
+def counts_by(df: DataFrame, column: str, default: str = "unknown") -> DataFrame:
+    """Rows per value of a column; null counts as the default."""
+    return df.groupBy(F.coalesce(column, F.lit(default)).alias(column)).agg(F.count(F.lit(1)).alias("n"))
+
+
+def coerced_map(df: DataFrame) -> DataFrame:
+    """``(id, label)`` of any table: its first whole-number column and its first text column; the last id of a label holds. Raises without them."""
+    text = next((c for c, t in df.dtypes if t == "string"), None)
+    number = next((c for c, t in df.dtypes if t in ("bigint", "int", "smallint", "tinyint")), None)
+    if text is None or number is None:
+        raise ValueError("a map has a text and a whole-number column")
+    return df.select(F.col(f"`{number}`").cast("long").alias("id"), F.col(f"`{text}`").alias("label")).where("id is not null and label is not null").groupBy("label").agg(F.max("id").alias("id")).select("id", "label")
+
+
+def breaks(df: DataFrame, by: list[str], order: str, value: str, name: str = "brk") -> DataFrame:
+    """``df`` with a flag where ``value`` differs from the one before in its group; the first row counts."""
+    return df.withColumn(name, ~F.col(value).eqNullSafe(F.lag(value).over(Window.partitionBy(*by).orderBy(order))))
 
 
 def upsert_greatest(kept: DataFrame, new: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable, Iterator
+from functools import reduce
 from typing import Any
 
 import pyarrow as pa
@@ -12,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import clean_cell
+from ..functions.text import WHITE_CLASS, clean_cell, trimmed
 from ..functions.values import SENTINEL_DATES
 
 # Members that hold the table of a document, in order of priority.
@@ -146,34 +147,51 @@ def rows_to_triples(df: DataFrame, s: str, p: str, o: str, drop_empty: bool = Fa
     return t
 
 
-def text_to_triples(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """``(doc_id, line, s, p, o)`` of the lines of texts.
+# Lines and values of brackets only, which say nothing, and the form of a key with its value.
+SKIPPED_LINES = ("{", "}", "[", "]", "},", "],", "{}", "[]")
+SKIPPED_VALUES = ("{", "[", "{}", "[]")
+KEY_VALUE = r"""^\s*["']?([^"':\t]+)["']?\s*:\s*["']?([^"']+)["']?\s*,?\s*$"""
+#: Where a text is cut into lines.
+LINE_END = "\r\n|[\n\r\u000b\u000c\u001c-\u001e\u0085  ]"
 
-    Lines of brackets only are skipped. ``key: value`` is said of the current subject, and the value of the key ``id`` becomes it. Three
-    parts between tabs, or three words, are a triple whose subject becomes current, unless the line begins with a quote. Any
-    other line is (current, line_<n>, line). The current subject is at first ``document_<id>``. Triples with sentinel dates drop out.
+
+def _dateless(*parts: Column) -> Column:
+    """Whether no part holds a sentinel date."""
+    return reduce(lambda a, b: a & b, (~F.coalesce(c, F.lit("")).contains(d) for c in parts for d in SENTINEL_DATES))
+
+
+def text_to_triples(docs: DataFrame, doc_id: str, text: str, subject: Column | None = None) -> DataFrame:
+    """``(doc_id, line, s, p, o)`` of the lines of texts, numbered from 0.
+
+    Lines of brackets only are skipped. ``key: value`` is said of the current subject, or makes the value of a key ``id`` the current
+    subject; without a value, or with a bracket as value, it says nothing. Of other lines that don't begin with a quote, three parts between tabs, or
+    else between white space, are a triple whose subject becomes current; the third part is all the rest of the line. Any other
+    line is (current, line_<n>, line). The current subject is at first ``subject``, or ``document_<id>``. What holds a sentinel
+    date gives no triple and no subject. Null texts have no lines.
     """
-    lines = docs.select(F.col(doc_id).alias("doc_id"), F.posexplode(F.split(F.col(text), "\r?\n")).alias("line", "raw")).withColumn("t", F.trim(F.translate("raw", "\t", "\t")))
-    lines = lines.where((F.col("t") != "") & ~F.col("t").rlike(r"^[\[\]{},]+$"))
-    key, value = F.regexp_extract("t", r'^"?([\w ]+?)"?\s*:\s+"?(.*?)"?,?$', 1), F.regexp_extract("t", r'^"?([\w ]+?)"?\s*:\s+"?(.*?)"?,?$', 2)
-    tabs, blanks = F.split("t", "\t"), F.split("t", r"\s+")
-    open_line = ~F.col("t").startswith('"')
-    parsed = lines.select(
-        "doc_id", "line", "t", F.when(key != "", key).alias("k"), value.alias("v"),
-        F.when((key == "") & open_line & (F.size(tabs) == 3), tabs).when((key == "") & open_line & (F.size(blanks) == 3), blanks).alias("x"),
-    )
-    based = parsed.withColumn("base", F.when(F.col("k") == "id", F.col("v")).when(F.col("x").isNotNull(), F.trim(F.col("x")[0])))
+    first = subject if subject is not None else F.concat(F.lit("document_"), F.col(doc_id))
+    lines = docs.select(F.col(doc_id).alias("doc_id"), first.cast("string").alias("first"), F.posexplode(F.split(F.col(text), LINE_END)).alias("line", "raw")).withColumn("t", trimmed("raw"))
+    t = F.col("t")
+    lines = lines.where((t != "") & ~t.isin(*SKIPPED_LINES) & ~F.btrim(t, F.lit('",')).isin(*SKIPPED_LINES))
+    lines = lines.withColumns({"is_pair": t.rlike(KEY_VALUE), "k": trimmed(F.regexp_extract(t, KEY_VALUE, 1)), "v": trimmed(F.regexp_extract(t, KEY_VALUE, 2))})
+    tabs, blanks = F.split(t, "\t", 3), F.split(t, WHITE_CLASS + "+", 3)
+    cut = F.when(F.col("is_pair") | t.startswith('"'), None).when(t.contains("\t") & (F.size(tabs) == 3), tabs).when(F.size(blanks) == 3, blanks)
+    lines = lines.withColumn("x", F.transform(cut, clean_cell))
+    pair = F.when(F.col("is_pair") & (F.col("v") != "") & ~F.col("v").isin(*SKIPPED_VALUES) & _dateless(F.col("k"), F.col("v")), F.struct("k", "v"))
+    three = F.when(_dateless(F.col("x")[0], F.col("x")[1], F.col("x")[2]), F.col("x"))
+    lines = lines.select("doc_id", "first", "line", "t", "is_pair", pair.alias("kv"), F.col("x").isNotNull().alias("is_three"), three.alias("x"))
+    is_id = F.lower("kv.k") == "id"
+    based = lines.withColumn("base", F.when(is_id, F.col("kv.v")).when(F.col("x").isNotNull(), F.col("x")[0]))
     before = Window.partitionBy("doc_id").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
-    current = F.coalesce(F.last("base", ignorenulls=True).over(before), F.concat(F.lit("document_"), F.col("doc_id")))
-    got = based.withColumn("current", current).select(
-        "doc_id", "line",
-        F.when(F.col("x").isNotNull(), F.trim(F.col("x")[0])).when(F.col("k") == "id", F.col("v")).otherwise(F.col("current")).alias("s"),
-        F.when(F.col("x").isNotNull(), F.trim(F.col("x")[1])).otherwise(F.coalesce("k", F.concat(F.lit("line_"), F.col("line")))).alias("p"),
-        F.when(F.col("x").isNotNull(), F.trim(F.col("x")[2])).when(F.col("k").isNotNull(), F.col("v")).otherwise(F.col("t")).alias("o"),
-    )
-    for d in SENTINEL_DATES:
-        got = got.where(~F.col("o").contains(d))
-    return got
+    current = clean_cell(F.coalesce(F.last("base", ignorenulls=True).over(before), "first"))
+    rest = F.when(~F.col("is_pair") & ~F.col("is_three") & _dateless(t), F.struct(F.col("current").alias("s"), F.concat(F.lit("line_"), F.col("line")).alias("p"), clean_cell(t).alias("o")))
+    said = (
+        F.when(is_id, F.struct(clean_cell(F.col("kv.v")).alias("s"), F.lit("id").alias("p"), clean_cell(F.col("kv.v")).alias("o")))
+        .when(F.col("kv").isNotNull(), F.struct(F.col("current").alias("s"), clean_cell(F.col("kv.k")).alias("p"), clean_cell(F.col("kv.v")).alias("o")))
+        .when(F.col("x").isNotNull(), F.struct(F.col("x")[0].alias("s"), F.col("x")[1].alias("p"), F.col("x")[2].alias("o")))
+        .otherwise(rest)
+    )
+    return based.withColumn("current", current).select("doc_id", "line", said.alias("said")).where(F.col("said").isNotNull()).select("doc_id", "line", "said.*")
 
 
 def parse_tasks(texts: DataFrame, text: str, default_sequence: str | None = None) -> DataFrame:
@@ -269,3 +287,30 @@ def search_documents(df: DataFrame, doc_id: str, data: str, criteria: list[dict]
         return found if todo else [()]
 
     return _per_document(df, doc_id, data, hit, "doc_id long")
+
+
+def build(members: DataFrame, name: str, text: str, most: int | None = None) -> DataFrame:
+    """``(member, line, s, p, o)`` of the texts of a source, each said at first of its name. ``most``: the first so many members by name."""
+    rows = members.select(F.col(name).alias("member"), F.col(text).alias("t"))
+    if most is not None:
+        rows = rows.orderBy("member").limit(most)
+    return text_to_triples(rows, "member", "t", F.col("member")).withColumnRenamed("doc_id", "member")
+
+
+def document_key(data: Column) -> Column:
+    """The key under which what was made of a document is kept: the md5 of its text."""
+    return F.md5(data)
+
+
+def ensured(df: DataFrame, doc_id: str, data: str, folder: str) -> DataFrame:
+    """``FLAT`` of the documents, flattened once: kept in ``folder`` under a key of the ids and texts of all documents, and read from there the next
+    time. An action."""
+    from ..sources.files import load_cached, save_cached
+
+    spark = df.sparkSession
+    key = df.agg(F.concat_ws(":", F.count(F.lit(1)), F.sum(F.xxhash64(doc_id, data).cast("decimal(38,0)")), F.bit_xor(F.xxhash64(data, doc_id)))).first()[0]
+    kept = load_cached(spark, folder, key)
+    if kept is None:
+        save_cached(json_to_triples(df, doc_id, data), folder, key)
+        kept = load_cached(spark, folder, key)
+    return kept

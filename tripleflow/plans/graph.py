@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import graph as g
 from ..operators import relational as r
 from ..storage import table
-from .star import KNOWN, STAR, STAR_SMALL, known, star
+from .star import KNOWN, STAR, known, star
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -108,7 +108,7 @@ def _paths_sql(hops: int) -> str:
 
 _add("meta_paths_2", lambda s, d: g.meta_paths(star(s, d), 2), _paths_sql(2))
 _add("meta_paths_3", lambda s, d: g.meta_paths(star(s, d), 3), _paths_sql(3))
-_add("shortest_hops", lambda s, d: g.shortest_hops(star(s, d, False), table(s, d, "supplier").select(F.concat(F.lit("supplier_"), "s_suppkey").alias("entity"))), STAR_SMALL + """
+_add("shortest_hops", lambda s, d: g.shortest_hops(star(s, d), table(s, d, "supplier").select(F.concat(F.lit("supplier_"), "s_suppkey").alias("entity"))), STAR + """
   , e as (select distinct s, o from t), h0 as (select 'supplier_' || s_suppkey as "start", 'supplier_' || s_suppkey entity from supplier),
   h1 as (select distinct "start", o entity from h0 join e on e.s = entity), h2 as (select distinct "start", o entity from h1 join e on e.s = entity), h3 as (select distinct "start", o entity from h2 join e on e.s = entity)
   select "start", entity, min(hop)::int hop from (select *, 0 hop from h0 union all select *, 1 from h1 union all select *, 2 from h2 union all select *, 3 from h3) group by all""")
@@ -137,4 +137,6 @@ def _negatives(s: SparkSession, d: str) -> DataFrame:
     return g.corrupt(t, g.vocabulary(g.entity_labels(t)), 2)
 
 
-_add("negative_samples", _negatives)
+_add("negative_samples", _negatives, KNOWN + """, f as (select distinct s, p, o from k), e as (select row_number() over (order by l) - 1 id, l from (select s l from k union select o from k)),
+  h as (select f.*, md5(concat_ws('|', 42, s, p, o, i)) h from f, range(1, 3) x(i)), c as (select s, p, o, ('0x' || h[1:15])::bigint % (select count(*) from e) id, h[16] < '8' head from h),
+  m as (select case when head then l else s end s, p, case when head then o else l end o from c join e using (id)) select s, p, o from m anti join f using (s, p, o)""")

@@ -125,10 +125,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _W = "'" + WHITE + "'"
 _NUM = "(e[+-]?[0-9]+)?"
-_READ = rf"""
+READ_SQL = rf"""
 with m as (select trim(label, {_W}) label, value_type vt, unit, multi_valued from transe_relation_map),
 a as (
-  select upper(trim(t.s, {_W})) s, m.label p, m.vt, m.unit, m.multi_valued, t.o, trim(t.o, {_W}) x, lower(trim(t.o, {_W})) l
+  select t.triple_id, t.split, upper(trim(t.s, {_W})) s, m.label p, m.vt, m.unit, m.multi_valued, t.o, trim(t.o, {_W}) x, lower(trim(t.o, {_W})) l
   from triples t join m on trim(t.p, {_W}) = m.label where t.s is not null
 ),
 b as (
@@ -161,7 +161,7 @@ c as (
   from b
 ),
 r as (
-  select s, p, vt, multi_valued, missing, x, case when not missing then
+  select triple_id, split, s, p, vt, multi_valued, missing, x, case when not missing then
     case vt when 'double' then d::varchar when 'bigint' then coalesce(w, case when mb = floor(mb) then mb::bigint end)::varchar
       when 'boolean' then boo when 'timestamp' then sec::varchar else l end end canon
   from c
@@ -178,7 +178,7 @@ refs as (
 orphan as (select * from refs r where not exists (select 1 from lives l where l.k = r.k and l.a <= r.t and (l.d is null or r.t < l.d)))
 """
 
-_CELLS = _READ + """
+_CELLS = READ_SQL + """
 , one as (select s, p, vt, min(case when vt in ('string', 'text') then x end) shown, min(canon) canon from r where not multi_valued and not missing
   group by s, p, vt having count(distinct canon) = 1 and count(*) filter (canon is null) = 0),
 many as (select s, p, canon, min(x) shown from r where multi_valued and canon is not null group by s, p, canon)
@@ -230,8 +230,8 @@ SQL: dict[str, str] = {
             "p2_time_zones": r"contract([[]\d+[]])*[.]homeTimeZone([[]\d+[]])*",
         }.items()
     },
-    "p1_found": _READ + "select s, p from r where not multi_valued and not missing group by s, p having count(distinct canon) > 1 or count(*) filter (canon is null) > 0",
-    "p1_multi": _READ + "select s, p, canon as value, count(*) n_rows from r where multi_valued and canon is not null group by all",
+    "p1_found": READ_SQL + "select s, p from r where not multi_valued and not missing group by s, p having count(distinct canon) > 1 or count(*) filter (canon is null) > 0",
+    "p1_multi": READ_SQL + "select s, p, canon as value, count(*) n_rows from r where multi_valued and canon is not null group by all",
     "p5_found": f"select trim(p, {_W}) p from triples where p is not null group by 1 having count(*) >= 0.06 * (select count(*) from triples)",
     "p5_profile": f"select trim(p, {_W}) p, count(*) \"rows\", count(distinct upper(trim(s, {_W}))) subjects, count(distinct trim(o, {_W})) objects from triples where p is not null group by 1",
     "p7_found": _REFS + "select tab, field, row_id from orphan",

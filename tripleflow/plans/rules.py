@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import rules as u
 from ..operators.ordered import numbered
 from ..storage import table
-from .star import KNOWN, STAR, STAR_SMALL, W, known, star
+from .star import KNOWN, STAR, W, known, star
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -57,15 +57,15 @@ _union = lambda names: " union all ".join(_V[n] for n in names)
 _all_v = ", v as (" + _union(["urgent", "open", "any"]) + " union all " + _union(["region", "home"]) + " union all " + _V["far"] + ")"
 _named = ", r(rule_id, confidence) as (values " + ", ".join(f"('{i}', {c}::double)" for i, _, c in RULES) + ")"
 _judged = _all_v + _named + ", j as (select r.rule_id, r.confidence, count(v.rule_id) n_violations, count(v.rule_id) = 0 satisfied from r left join v using (rule_id) group by 1, 2)"
-_add("rule_violations_1", lambda s, d: _texts(u.violations(star(s, d, False), _rules(ONE))), STAR_SMALL + " " + _union(["urgent", "open", "any"]))
-_add("rule_violations_2", lambda s, d: _texts(u.violations(star(s, d, False), _rules(TWO))), STAR_SMALL + " " + _union(["region", "home"]))
-_add("rule_violations_3", lambda s, d: _texts(u.violations(star(s, d, False), _rules(THREE))), STAR_SMALL + " " + _V["far"])
-_add("rule_verdicts", lambda s, d: u.verdicts(star(s, d, False), _rules()), STAR_SMALL + _judged + " select * from j")
-_add("rule_confidence", lambda s, d: u.confidence_score(u.verdicts(star(s, d, False), _rules())).select(F.round("confidence_score", 9).alias("confidence_score")), STAR_SMALL + _judged + " select round(coalesce(sum(confidence * confidence) / sum(confidence), 0), 9) confidence_score from j where satisfied")
-_add("rule_violation_features", lambda s, d: u.violation_features(u.verdicts(star(s, d, False), _rules())).select("n_violations", "n_rules", F.round("mean_confidence", 9).alias("mean_confidence"), "n_violated", F.round("violation_rate", 6).alias("violation_rate"), "penalty"),
-     STAR_SMALL + _judged + " select sum(n_violations)::bigint n_violations, count(*) n_rules, round(sum(confidence * n_violations) / sum(n_violations), 9) mean_confidence, count(*) filter (not satisfied) n_violated, round(sum(n_violations) / count(*), 6) violation_rate, least(sum(n_violations) / count(*) * 10, 0.3)::double penalty from j")
+_add("rule_violations_1", lambda s, d: _texts(u.violations(star(s, d), _rules(ONE))), STAR + " " + _union(["urgent", "open", "any"]))
+_add("rule_violations_2", lambda s, d: _texts(u.violations(star(s, d), _rules(TWO))), STAR + " " + _union(["region", "home"]))
+_add("rule_violations_3", lambda s, d: _texts(u.violations(star(s, d), _rules(THREE))), STAR + " " + _V["far"])
+_add("rule_verdicts", lambda s, d: u.verdicts(star(s, d), _rules()), STAR + _judged + " select * from j")
+_add("rule_confidence", lambda s, d: u.confidence_score(u.verdicts(star(s, d), _rules())).select(F.round("confidence_score", 9).alias("confidence_score")), STAR + _judged + " select round(coalesce(sum(confidence * confidence) / sum(confidence), 0), 9) confidence_score from j where satisfied")
+_add("rule_violation_features", lambda s, d: u.violation_features(u.verdicts(star(s, d), _rules())).select("n_violations", "n_rules", F.round("mean_confidence", 9).alias("mean_confidence"), "n_violated", F.round("violation_rate", 6).alias("violation_rate"), "penalty"),
+     STAR + _judged + " select sum(n_violations)::bigint n_violations, count(*) n_rules, round(sum(confidence * n_violations) / sum(n_violations), 9) mean_confidence, count(*) filter (not satisfied) n_violated, round(sum(n_violations) / count(*), 6) violation_rate, least(sum(n_violations) / count(*) * 10, 0.3)::double penalty from j")
 _ORD = [r[0] for r in RULES]
-_add("rule_group_features", lambda s, d: u.rule_features(u.verdicts(star(s, d, False), _rules()).join(s.createDataFrame([(n, i) for i, n in enumerate(_ORD)], "rule_id string, ord int"), "rule_id"), 3), STAR_SMALL + _judged + ", o(rule_id, ord) as (values " + ", ".join(f"('{n}', {i})" for i, n in enumerate(_ORD)) + ") select (ord // 3)::bigint grp, avg((not satisfied)::int) mean, max((not satisfied)::int) as \"any\", sum((not satisfied)::int)::bigint n_violated from j join o using (rule_id) group by 1")
+_add("rule_group_features", lambda s, d: u.rule_features(u.verdicts(star(s, d), _rules()).join(s.createDataFrame([(n, i) for i, n in enumerate(_ORD)], "rule_id string, ord int"), "rule_id"), 3), STAR + _judged + ", o(rule_id, ord) as (values " + ", ".join(f"('{n}', {i})" for i, n in enumerate(_ORD)) + ") select (ord // 3)::bigint grp, avg((not satisfied)::int) mean, max((not satisfied)::int) as \"any\", sum((not satisfied)::int)::bigint n_violated from j join o using (rule_id) group by 1")
 
 
 def _by_document(s: SparkSession, d: str) -> DataFrame:
@@ -92,13 +92,13 @@ def _patterns(s: SparkSession) -> DataFrame:
     return s.createDataFrame(rows, "pattern_id int, ps string, pp string, po string")
 
 
-_add("pattern_batch", lambda s, d: u.match_batch(star(s, d, False), _patterns(s)), STAR_SMALL + ", q(pattern_id, ps, pp, po) as (values (0, null, 'segment', null), (1, null, 'in_nation', 'nation_3'), (2, 'order_1', null, null), (3, 'nation_3', 'in_region', 'region_1'), (4, null, null, 'nation_3'), (5, 'nation_3', 'in_region', 'region_3')) select pattern_id, s, p, o from t join q on (ps is null or ps = s) and (pp is null or pp = p) and (po is null or po = o)")
+_add("pattern_batch", lambda s, d: u.match_batch(star(s, d), _patterns(s)), STAR + ", q(pattern_id, ps, pp, po) as (values (0, null, 'segment', null), (1, null, 'in_nation', 'nation_3'), (2, 'order_1', null, null), (3, 'nation_3', 'in_region', 'region_1'), (4, null, null, 'nation_3'), (5, 'nation_3', 'in_region', 'region_3')) select pattern_id, s, p, o from t join q on (ps is null or ps = s) and (pp is null or pp = p) and (po is null or po = o)")
 
 
 def _ground(s: SparkSession, d: str) -> DataFrame:
     n = table(s, d, "nation").select(F.concat(F.lit("in_region(nation_"), "n_nationkey", F.lit(",region_"), "n_regionkey", F.lit(")")).alias("a"), F.concat(F.lit("big(nation_"), "n_nationkey", F.lit(",yes)")).alias("b"), F.concat(F.lit("r"), "n_nationkey").alias("rule_id"), "n_nationkey")
     rules = n.select("rule_id", F.when(F.col("n_nationkey") % 2 == 0, F.col("a")).otherwise(F.col("b")).alias("head"), F.array("a").alias("body"))
-    return u.ground_violated(star(s, d, False), rules)
+    return u.ground_violated(star(s, d), rules)
 
 
 _add("rule_ground_check", _ground, "select 'r' || n_nationkey rule_id from nation where n_nationkey % 2 <> 0")
@@ -125,9 +125,9 @@ def _evidence(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 _EV = "with ev as (select o_custkey src, 'buys' rel, l_suppkey cand, 0.1::double + l_discount confidence from lineitem join orders on l_orderkey = o_orderkey), kn as (select distinct src, rel, cand from ev where confidence >= 0.195), fr as (select * from ev anti join kn using (src, rel, cand)), "
-_add("rank_noisy_or", lambda s, d: u.rank_candidates(*_evidence(s, d)).select("src", "rel", "cand", F.round("score", 6).alias("score")), _EV + "sc as (select src, rel, cand, round(1 - exp(sum(ln(1 - least(confidence, 0.9999999)))), 6) score from fr group by 1, 2, 3) select * from sc")
+_add("rank_noisy_or", lambda s, d: u.rank_candidates(*_evidence(s, d)).select("src", "rel", "cand", F.round("score", 6).alias("score")), _EV + "sc as (select src, rel, cand, round(1 - list_reduce(list_transform(list(confidence order by confidence), lambda c: 1 - c), lambda a, c: a * c, 1.0::double), 6) score from fr group by 1, 2, 3) select * from sc")
 _add("rank_max_plus", lambda s, d: u.rank_candidates(*_evidence(s, d), "maxplus").select("src", "rel", "cand", F.round("score", 9).alias("score"), "rank"), _EV + "sc as (select src, rel, cand, list(confidence order by confidence desc) l from fr group by 1, 2, 3) select src, rel, cand, round(l[1], 9) score, row_number() over (partition by src, rel order by l desc, cand)::int rank from sc")
-_add("rule_quality", lambda s, d: _rule_rows(s, d).select("id", F.round(F.col("confidence") * F.col("ord") / 100, 9).alias("quality")), "select 'r' || p_partkey id, round(p_size / 64 * p_partkey / 100, 9) quality from part")
+_add("rule_quality", lambda s, d: _rule_rows(s, d).select("id", u.quality(F.col("confidence"), F.col("ord")).alias("quality")), "select 'r' || p_partkey id, round(p_size / 64 * p_partkey / 100, 9) quality from part")
 _add("rule_union_first", lambda s, d: _rule_rows(s, d).groupBy(F.trim("body").alias("rule")).agg(F.max_by("id", F.struct("confidence", -F.col("ord"))).alias("id"), F.max("confidence").alias("confidence")), "select p_type as rule, 'r' || arg_max(p_partkey, {'c': p_size, 'o': -p_partkey}) id, max(p_size / 64) confidence from part group by 1")
 _add("rule_literals", lambda s, d: _rule_rows(s, d).select(F.explode(F.regexp_extract_all(F.concat(F.lit("h(A,'"), "body", F.lit("') <= b(A,\""), "head", F.lit('")')), F.lit(r"'([^']*)'|\"([^\"]*)\""), F.lit(0))).alias("q")).select(F.expr("substring(q, 2, length(q) - 2)").alias("literal")).distinct(), "select p_type literal from part union select 'h(' || p_brand || ')' from part")
 _add("anchored_numbers", lambda s, d: numbered(_rule_rows(s, d).select("body").distinct(), ["body"], "id", 100), "select p_type body, 99 + row_number() over (order by p_type) id from (select distinct p_type from part)")

@@ -110,12 +110,12 @@ class Workflow:
             return
         if "next_sequence" in step:
             self.run(step["next_sequence"], context)
-        elif "set" in step:
-            context[step["set"]] = render(step.get("value"), context)
         elif "method" in step:
             got = self.methods[step["method"]](**render(step.get("args", {}), context))
             if name := step.get("save_as"):
                 self.store(name, got, context)
+        elif "set" in step:
+            context[step["set"]] = render(step.get("value"), context)
 
     def store(self, name: str, value: Any, context: dict[str, Any]) -> None:
         context[name] = value
@@ -150,3 +150,21 @@ def manifest(spark: SparkSession, data: dict) -> DataFrame:
 
     rows = [(str(data.get("execution_id", "")), str(t["msisdn"]), t["sequence"], json.dumps(t.get("payload") or {})) for t in data.get("tasks", [])]
     return spark.createDataFrame(rows, "execution_id string, msisdn string, sequence string, payload string")
+
+
+def orchestrate(spark: SparkSession, data: dict, flow: Workflow) -> DataFrame:
+    """``(execution_id, msisdn, sequence, ok, result)``: one row per task of a manifest, in order. Each task runs its sequence in a context of its own,
+    the members of its payload as variables; a task that fails is a row with the error, and the others go on.
+
+    Tasks are driver-side control flow over distributed frames; their results are texts (a frame's is its number of rows).
+    """
+    rows = []
+    for task in data.get("tasks", []):
+        context = {"msisdn": str(task["msisdn"]), "collector": []} | dict(task.get("payload") or {})
+        try:
+            context = flow.run(task["sequence"], context)
+            got = context.get("result")
+            rows.append((str(data.get("execution_id", "")), context["msisdn"], task["sequence"], True, str(got.count()) if isinstance(got, DataFrame) else None if got is None else str(got)))
+        except Exception as e:  # noqa: BLE001
+            rows.append((str(data.get("execution_id", "")), str(task["msisdn"]), task["sequence"], False, f"{type(e).__name__}: {e}"))
+    return spark.createDataFrame(rows, "execution_id string, msisdn string, sequence string, ok boolean, result string")

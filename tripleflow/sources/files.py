@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
 import json
 import zipfile
 from collections.abc import Callable, Iterator
+from functools import reduce
 from pathlib import PurePosixPath
 
 import pyarrow as pa
@@ -51,14 +53,14 @@ def read_tsv(spark: SparkSession, path: str, schema: str | None = None) -> DataF
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
     """``(path, data)``: a row per file, the whole text; an empty file is an empty object."""
-    t = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("path"), F.col("value").alias("data"))
+    t = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("data"))
     return t.withColumn("data", F.when(F.trim("data") == "", "{}").otherwise(F.col("data")))
 
 
 def read_text(spark: SparkSession, path: str) -> DataFrame:
     """``(path, text)``: a row per file; UTF-8, else Latin-1."""
     b = spark.read.format("binaryFile").load(path).select("path", "content")
-    return b.select("path", F.coalesce(F.try_validate_utf8(F.col("content").cast("string")), F.decode("content", F.lit("ISO-8859-1"))).alias("text"))
+    return b.select("path", F.coalesce(F.try_validate_utf8(F.col("content").cast("string")), F.decode("content", "ISO-8859-1")).alias("text"))
 
 
 def read_zip(spark: SparkSession, path: str, suffixes: tuple[str, ...] = (".txt", ".json", ".csv", ".tsv", ".ndjson", ".jsonl", ".xml")) -> DataFrame:
@@ -159,13 +161,93 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     raise ValueError(f"no reader for {path!r}")
 
 
+FOLDER_KINDS = (".csv", ".parquet", ".ndjson", ".jsonl", ".json", ".txt")
+
+
 def read_folder(spark: SparkSession, path: str) -> DataFrame:
-    """The files of one kind in a folder and those below."""
-    names = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)).alias("k")).distinct().limit(50).collect()
-    for kind in (".csv", ".parquet", ".ndjson", ".jsonl", ".json", ".txt"):
-        if any(r.k == kind for r in names):
+    """The files of the first of FOLDER_KINDS that is in the folder itself; else all files of the folders below, as ``(path, text)`` with their
+    relative paths. An empty folder raises."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path")
+    root = path.rstrip("/").split(":", 1)[-1].lstrip("/")
+    relative = F.substring_index(F.col("path"), f"{root}/", -1)
+    kinds = {r.k for r in files.where(~relative.contains("/")).select(F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)).alias("k")).distinct().limit(100).collect()}
+    for kind in FOLDER_KINDS:
+        if kind in kinds:
             return READERS[kind](spark, f"{path.rstrip('/')}/*{kind}")
-    raise ValueError(f"nothing to read in {path!r}")
+    if files.limit(1).count() == 0:
+        raise ValueError(f"nothing to read in {path!r}")
+    whole = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    text = F.coalesce(F.try_validate_utf8(F.col("content").cast("string")), F.decode("content", "ISO-8859-1"))
+    return whole.select(relative.alias("path"), text.alias("text"))
+
+
+def read_bytes(spark: SparkSession, raw: bytes, kind: str) -> DataFrame:
+    """A small file that is in memory already, by its suffix; CSV and TSV as strings, JSON lines as they are, else ``(data)``."""
+    text = raw.decode("utf-8") if _is_utf8(raw) else raw.decode("latin-1")
+    if kind in (".csv", ".tsv"):
+        import csv
+
+        rows = list(csv.reader(io.StringIO(text), delimiter="\t" if kind == ".tsv" else sniff_separator(text)))
+        if kind == ".tsv":
+            rows.insert(0, [f"column_{i}" for i in range(1, max(map(len, rows), default=1) + 1)])
+        if not rows:
+            return spark.createDataFrame([], "column_1 string")
+        width = len(rows[0])
+        return spark.createDataFrame([tuple((r + [None] * width)[:width]) for r in rows[1:]], ", ".join(f"`{c}` string" for c in rows[0]))
+    if kind in (".ndjson", ".jsonl"):
+        lines = spark.createDataFrame([(x,) for x in text.splitlines() if x.strip()], "value string")
+        schema = lines.select(F.schema_of_json(F.lit(lines.first()[0]))).first()[0] if lines.count() else "a string"
+        return lines.select(F.from_json("value", schema).alias("v")).select("v.*")
+    return spark.createDataFrame([(text,)], "data string")
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``(path, line, text)``: the lines of each file, from 1. A file is read whole."""
+    return read_text(spark, path).select("path", F.posexplode(F.split("text", "\r?\n")).alias("k", "text")).select("path", (F.col("k") + 1).alias("line"), "text").where(F.col("text") != "")
+
+
+def lines_with(lines: DataFrame, needles: tuple[str, ...] = ("1970-01-01", "9999-12-31")) -> DataFrame:
+    """The lines that hold one of the needles."""
+    return lines.where(reduce(lambda a, b: a | b, (F.col("text").contains(n) for n in needles)))
+
+
+def json_lines(lines: DataFrame, schema: str) -> DataFrame:
+    """``(path, line, v, error)``: each line by the schema, or the place and the text of one that is no JSON object."""
+    v = F.from_json("text", schema + ", __bad string", {"columnNameOfCorruptRecord": "__bad"})
+    got = lines.select("path", "line", v.alias("v"))
+    return got.select("path", "line", F.col("v").dropFields("__bad").alias("v"), F.when(F.col("v.__bad").isNotNull(), F.concat_ws(":", "path", F.col("line").cast("string"), F.col("v.__bad"))).alias("error"))
+
+
+def log_parts(lines: DataFrame, text: str, header: str = "#") -> DataFrame:
+    """``lines`` with ``thread``, ``msisdn`` and ``message``: of JSON log records, of lines of four parts between bars, and ``_meta`` for headers, blank and
+    other lines."""
+    raw = F.col(text)
+    ok = F.try_parse_json(raw).isNotNull() & F.ltrim(raw).startswith("{")
+    of = lambda p: F.get_json_object(raw, p)
+    bars = F.size(F.split(raw, r"\|")) >= 4
+    name = F.regexp_extract(raw, r"Thread-\d+", 0)
+    meta = raw.isNull() | (raw == "") | raw.startswith(header)
+    task = F.regexp_extract(raw, r"\[([^\]]+)\]", 1)
+    return lines.withColumns({
+        "thread": F.when(meta, "_meta").when(ok, F.coalesce(of("$.record.thread.name"), F.lit("_meta"))).when(bars, F.when(name != "", name).otherwise("MainThread")).otherwise("_meta"),
+        "msisdn": F.when(meta, None).when(ok, F.coalesce(F.nullif(of("$.record.extra.msisdn"), F.lit("")), of("$.record.extra.task_id"))).when(bars, F.when(task != "", task)),
+        "message": F.when(ok & ~meta, F.rtrim(F.coalesce(of("$.text"), F.lit("")))).otherwise(raw),
+    })
+
+
+def save_cached(df: DataFrame, folder: str, key: str) -> str:
+    """``df`` under a key in a folder of cached tables; gives its path. An action."""
+    path = f"{folder.rstrip('/')}/{hashlib.md5(key.encode()).hexdigest()}"
+    df.write.mode("overwrite").option("compression", "snappy").option("maxRecordsPerFile", 1_000_000).parquet(path)
+    return path
+
+
+def load_cached(spark: SparkSession, folder: str, key: str) -> DataFrame | None:
+    """The table that was saved under a key, or None."""
+    path = f"{folder.rstrip('/')}/{hashlib.md5(key.encode()).hexdigest()}"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    there = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+    return spark.read.parquet(path) if there else None
 
 
 def _gated(spark: SparkSession, path: str, kind: str) -> DataFrame:
@@ -182,7 +264,8 @@ def _gated(spark: SparkSession, path: str, kind: str) -> DataFrame:
 
 def write(df: DataFrame, path: str, mode: str = "errorifexists", files: int | None = None) -> None:
     """Writes by suffix. An action. ``files``: so many files at most."""
-    w = (df.coalesce(files) if files else df).write.mode(mode)
+    df = df.coalesce(files) if files else df
+    w = df.write.mode(mode)
     kind = suffix(path)
     if kind in (".parquet", ".pq", ".parq"):
         w.option("compression", "zstd").parquet(path)
@@ -190,8 +273,12 @@ def write(df: DataFrame, path: str, mode: str = "errorifexists", files: int | No
         w.option("header", True).csv(path)
     elif kind == ".tsv":
         w.option("header", True).option("sep", "\t").csv(path)
-    elif kind in (".ndjson", ".jsonl", ".json"):
+    elif kind in (".ndjson", ".jsonl"):
         w.json(path)
+    elif kind == ".json":
+        _write_documents(df, path, mode)
+    elif kind in GATED:
+        _write_small(df, path, kind)
     elif kind in (".txt", ".log"):
         w.text(path)
     elif kind == ".orc":
@@ -200,6 +287,37 @@ def write(df: DataFrame, path: str, mode: str = "errorifexists", files: int | No
         raise ValueError(f"no writer for {path!r}")
 
 
+#: Rows that a file written by the driver holds at most.
+MAX_SMALL = 1_000_000
+
+
+def _write_documents(df: DataFrame, path: str, mode: str) -> None:
+    """A JSON document, a list of objects, for each partition of ``df``; nulls are members too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lines = [x for b in batches for x in b.column(0).to_pylist()]
+        if lines:
+            yield pa.RecordBatch.from_arrays([pa.array(["[" + ",\n".join(lines) + "]"])], ["value"])
+
+    rows = df.select(F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns)), {"ignoreNullFields": "false"}).alias("value"))
+    rows.mapInArrow(run, "value string").write.mode(mode).text(path)
+
+
+def _write_small(df: DataFrame, path: str, kind: str) -> None:
+    """A sheet or YAML, which only the driver can write; raises beyond MAX_SMALL rows, and where the library is missing."""
+    rows = df.limit(MAX_SMALL + 1).toPandas()
+    if len(rows) > MAX_SMALL:
+        raise ValueError(f"more than {MAX_SMALL} rows in a file of the driver")
+    target = path.split(":", 1)[1] if path.startswith("file:") else path
+    if kind in (".yaml", ".yml"):
+        import yaml
+
+        with open(target, "w", encoding="utf-8") as f:
+            yaml.safe_dump(json.loads(rows.to_json(orient="records", date_format="iso")), f, allow_unicode=True, sort_keys=False)
+    else:
+        rows.to_excel(target, index=False)
+
+
 def write_triples_tsv(df: DataFrame, path: str, header: bool = True) -> None:
     df.select("s", "p", "o").write.option("sep", "\t").option("header", header).csv(path)
 
@@ -208,6 +326,58 @@ def convert(spark: SparkSession, source: str, target: str) -> None:
     write(read(spark, source), target)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
+def read_triples(spark: SparkSession, path: str, columns: tuple[str, ...] = ("s", "p", "o")) -> DataFrame:
+    """A table of triples; one that lacks a column raises."""
+    df = read(spark, path)
+    missing = [c for c in columns if c not in df.columns]
+    if missing:
+        raise ValueError(f"{path!r} lacks {', '.join(missing)}")
+    return df
+
+
+def read_splits(spark: SparkSession, folder: str, names: tuple[str, ...] = ("train", "valid", "test"), prefer: str = "_optimized") -> dict[str, DataFrame]:
+    """The Parquet splits that are in a folder; of a split that was optimised, that. None at all raises."""
+    out = {}
+    for name in names:
+        for path in (f"{folder}/{name}{prefer}.parquet", f"{folder}/{name}.parquet"):
+            if exists(spark, path):
+                out[name] = read_triples(spark, path)
+                break
+    if not out:
+        raise FileNotFoundError(f"no splits in {folder!r}")
+    return out
+
+
+def write_response(docs: DataFrame, doc_id: str, data: str, path: str) -> int:
+    """The tables of responses as Parquet, a row each with its members as text; gives their number, and writes nothing where no response is
+    tabular. An action."""
+    from ..operators.triples import tabularize
+    from ..storage import written
+
+    rows = written(tabularize(docs, doc_id, data), "responses")
+    n = rows.count()
+    if n:
+        write(rows, path)
+    return n
+
+
+def append_observations(rows: DataFrame, path: str) -> None:
+    """Appends rows as JSON lines, with the time at which they were written. An action."""
+    rows.withColumn("observed_at", F.current_timestamp()).write.mode("append").json(path)
+
+
+def save_rules(rules: DataFrame, folder: str) -> None:
+    """Rules (rule, confidence, source): all of them, those of each source, and the counts by source, as JSON. An action."""
+    rules.write.mode("overwrite").json(f"{folder}/combined")
+    rules.write.mode("overwrite").partitionBy("source").json(f"{folder}/by_source")
+    rules.groupBy("source").agg(F.count(F.lit(1)).alias("n")).coalesce(1).write.mode("overwrite").json(f"{folder}/counts")
+
+
 def results(rows: DataFrame, details: str) -> DataFrame:
     """Result rows once per MSISDN (the first by request), a map of lists as text: ``k: a, b | k2: nenhum``."""
     shown = F.array_join(F.transform(F.array_sort(F.map_entries(details)), lambda e: F.concat(e["key"], F.lit(": "), F.when(F.size(e["value"]) > 0, F.array_join(e["value"], ", ")).otherwise(F.lit("nenhum")))), " | ")

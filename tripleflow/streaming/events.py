@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def latest(events: DataFrame, key: str, order: list[str], values: list[str]) -> DataFrame:
@@ -35,23 +31,49 @@ def once(events: DataFrame, keys: list[str], at: str, within: str) -> DataFrame:
     return events.withWatermark(at, within).dropDuplicatesWithinWatermark(keys)
 
 
-def changed(stream: DataFrame, key: str, value: str, at: str) -> DataFrame:
-    """A stream's events whose value differs from the last one of their key; the first counts."""
-
-    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        for rows in batches:
-            out = []
-            for v, t in rows.sort_values([at, value])[[value, at]].itertuples(index=False):
-                if v != last:
-                    out.append((k[0], v, t))
-                    last = v
-            yield pd.DataFrame(out, columns=[key, value, at])
-        state.update((last,))
-
-    kinds = dict(stream.dtypes)
-    schema = f"{key} {kinds[key]}, {value} {kinds[value]}, {at} {kinds[at]}"
-    return stream.select(key, value, at).groupBy(key).applyInPandasWithState(step, schema, f"last {kinds[value]}", "append", GroupStateTimeout.NoTimeout)
+def _settle(rows: DataFrame, key: str, value: str, order: list[str], horizon: Column) -> tuple[DataFrame, DataFrame]:
+    """The changes among the rows up to ``horizon``, and what is kept: the last of them per key (``done``), and the rows beyond."""
+    w = Window.partitionBy(key)
+    ordered = w.orderBy(F.col("done").desc(), *order)
+    last = F.max(F.when(F.col("done"), F.struct(*order))).over(w)
+    on_time = rows.withColumn("__last", last).where(F.col("done") | F.col("__last").isNull() | (F.struct(*order) >= F.col("__last"))).drop("__last")
+    placed = on_time.withColumn("__settled", F.col("done") | (F.col(order[0]) <= horizon))
+    marked = placed.withColumns({"__before": F.lag(value).over(ordered), "__n": F.row_number().over(ordered)})
+    out = marked.where("__settled and not done").where((F.col("__n") == 1) | ~F.col(value).eqNullSafe(F.col("__before")))
+    newest = F.row_number().over(Window.partitionBy(key, "__settled").orderBy("done", *(F.col(c).desc() for c in order)))
+    kept = placed.withColumn("__k", newest).where(~F.col("__settled") | (F.col("__k") == 1)).withColumn("done", F.col("__settled"))
+    names = list(dict.fromkeys([key, value, *order]))
+    return out.select(*names), kept.select(*names, "done")
+
+
+def changed(stream: DataFrame, key: str, value: str, order: list[str], path: str, checkpoint: str, late: str = "0 seconds", once_only: bool = False):
+    """Appends a stream's events whose value differs from the one before of their key to ``path``; the first counts. Gives the query.
+
+    Events are put in ``order`` (event time first, then what tells equals apart), across the batches and triggers of the stream: an event is settled
+    when one has been seen that is ``late`` younger, and waits in a buffer till then. Events older than a settled one of their key come too late and
+    are left out; so are those without a time. A trigger reads the state of the one before it, which holds the last event of each key and
+    the buffer, and names what it writes by its number, so that a repeated trigger writes the same again.
+    ``changed_rest`` gives what is still in the buffer when a stream has ended."""
+    names = list(dict.fromkeys([key, value, *order]))
+
+    def trigger(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        rows = batch.select(*names).where(F.col(order[0]).isNotNull()).withColumn("done", F.lit(False))
+        if epoch:
+            rows = rows.unionByName(spark.read.schema(rows.schema).parquet(f"{path}/state/{epoch - 1}"))
+        newest = rows.agg(F.max(order[0]).alias("newest"))
+        placed = rows.crossJoin(F.broadcast(newest)).withColumn("__horizon", F.col("newest") - F.expr(f"interval {late}"))
+        out, kept = _settle(placed, key, value, order, F.col("__horizon"))
+        kept.write.mode("overwrite").parquet(f"{path}/state/{epoch}")
+        out.write.mode("overwrite").parquet(f"{path}/changes/epoch={epoch}")
+
+    w = stream.writeStream.foreachBatch(trigger).option("checkpointLocation", checkpoint)
+    return (w.trigger(availableNow=True) if once_only else w).start()
+
+
+def changed_rest(spark: SparkSession, path: str, key: str, value: str, order: list[str], epoch: int) -> DataFrame:
+    """The changes among the events that wait in the buffer after trigger ``epoch``, all of them settled now."""
+    return _settle(spark.read.parquet(f"{path}/state/{epoch}"), key, value, order, F.col(order[0]))[0]
 
 
 def ewma(events: DataFrame, key: str, order: list[str], value: str, keep: float = 0.8) -> DataFrame:
@@ -59,8 +81,6 @@ def ewma(events: DataFrame, key: str, order: list[str], value: str, keep: float
 
     By weights of the place from the end, so that values are summed where they are and a key's rows never meet in one array.
     """
-    from pyspark.sql import Window
-
     w = Window.partitionBy(key)
     placed = events.withColumn("__k", F.row_number().over(w.orderBy(*(F.col(c).desc() for c in order))) - 1).withColumn("__n", F.count(F.lit(1)).over(w))
     weight = F.pow(F.lit(keep), F.col("__k")) * F.when(F.col("__k") == F.col("__n") - 1, F.lit(1.0)).otherwise(F.lit(1 - keep))
