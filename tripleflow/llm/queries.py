@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import WHITE
+from ..plans.problems import READ_SQL
 from ..storage import ship, table
 from . import ann, bpe, mixing, overlap, reading, terms
 
@@ -27,7 +28,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 def p3_similar(spark: SparkSession, d: str) -> DataFrame:
     """The 10 most similar vectors of each row whose id is divisible by 100."""
     vectors = ann.usable(table(spark, d, "node_embeddings"), "id", "entity_embeddings", DIMENSION)
-    return ann.most_similar(vectors, vectors.where(F.col("id") % 100 == 0), 10)
+    return ann.most_similar(vectors, vectors.where(F.col("id") % 100 == 0), 10).withColumn("cosine", F.round("cosine", 6))
 
 
 def _terms(spark: SparkSession, d: str) -> DataFrame:
@@ -51,6 +52,13 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return _overlaps(spark, d).select(F.least("train_id", "eval_id").alias("triple_id_a"), F.greatest("train_id", "eval_id").alias("triple_id_b")).distinct()
 
 
+def p6_values(spark: SparkSession, d: str) -> DataFrame:
+    """The overlaps of all facts but texts, which SQL can check."""
+    relations = table(spark, d, "transe_relation_map").where("value_type <> 'text'")
+    found = overlap.overlaps(table(spark, d, "triples"), relations)
+    return found.select("train_id", "eval_id").distinct()
+
+
 def p6_report(spark: SparkSession, d: str) -> DataFrame:
     return overlap.report(_overlaps(spark, d))
 
@@ -102,7 +110,7 @@ def p10_profile(spark: SparkSession, d: str) -> DataFrame:
     return rounded.join(docs, "doc_id").groupBy("source", "reading_level").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_words").alias("n_words"))
 
 
-_ALL = (p3_found, p3_similar, p4_found, p4_terms, p6_found, p6_report, p8_ids, p8_text, p9_found, p9_mix, p9_shares, p10_found, p10_levels, p10_profile)
+_ALL = (p3_found, p3_similar, p4_found, p4_terms, p6_found, p6_values, p6_report, p8_ids, p8_text, p9_found, p9_mix, p9_shares, p10_found, p10_levels, p10_profile)
 
 
 def _shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -140,6 +148,11 @@ with v as (select id, entity_embeddings::double[{DIMENSION}] e from node_embeddi
 
 SQL: dict[str, str] = {
     "p3_found": _VECTORS + "select a.id id_a, b.id id_b from v a join v b on a.id < b.id where array_cosine_similarity(a.e, b.e) >= 0.9",
+    "p3_similar": _VECTORS + """, w as (select id, e, e::varchar bits from v), q as (select * from w where id % 100 = 0),
+x as (select q.id, w.id neighbour, q.bits = w.bits same, round(array_cosine_similarity(q.e, w.e), 9) near, round(array_cosine_similarity(q.e, w.e), 12) cosine from q join w on q.id <> w.id),
+y as (select *, row_number() over (partition by id order by same desc, near desc, neighbour)::int place from x) select id, neighbour, place, round(cosine, 6) cosine from y where place <= 10""",
+    "p6_values": READ_SQL + """, f as (select triple_id, split, s, p, canon from r where vt <> 'text' and canon is not null)
+select distinct a.triple_id train_id, b.triple_id eval_id from f a join f b on a.s = b.s and a.p = b.p and a.canon = b.canon and a.split = 'train' and b.split in ('valid', 'test')""",
     "p4_found": _TERMS + "select field, term, mark from marked where mark is not null",
     "p8_text": "select doc_id, coalesce(text, '') as text from documents",
     "p4_terms": _TERMS + "select field, term, n_rows, n_records, mark from marked",
