@@ -26,6 +26,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -99,15 +100,17 @@ def facts(triples: DataFrame, relation_map: DataFrame) -> DataFrame:
     side = triples.where(F.col("split").isin(TRAIN, *EVALUATION) & F.col("s").isNotNull() & F.col("o").isNotNull())
     rows = side.select(F.col("triple_id").cast("long").alias("triple_id"), (F.col("split") != TRAIN).alias("ev"), "split", "source", entity_key("s").alias("s"), trimmed("p").alias("p"), F.col("o").cast("string").alias("o")).join(known, "p")
     head = ["triple_id", "ev", "split", "source", "s", "p"]
-    plain = with_reading(rows.where(F.col("value_type") != "text")).where(F.col("canon").isNotNull()).select(*head, F.col("canon").alias("key"), F.lit(None).cast("string").alias("words"))
-    texts = with_reading(rows.where(F.col("value_type") == "text")).where(F.col("canon").isNotNull()).select(*head, F.col("canon"))
+    read = with_reading(rows).where(F.col("canon").isNotNull()).select(*head, F.col("canon").alias("key"), F.coalesce(F.col("value_type") == "text", F.lit(False)).alias("is_text"))
+    schema = read.select(*head, "key", F.lit(None).cast("string").alias("words")).schema
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            both = [folded(t) for t in batch.column(len(head)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(head)], pa.array([b[0] for b in both], pa.string()), pa.array([b[1] for b in both], pa.string())], [*head, "key", "words"])
+            key, is_text = batch.column(len(head)), batch.column(len(head) + 1)
+            both = [folded(t) for t in key.filter(is_text).to_pylist()]
+            words = pc.replace_with_mask(pa.nulls(len(key), key.type), is_text, pa.array([b[1] for b in both], key.type))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(head)], pc.replace_with_mask(key, is_text, pa.array([b[0] for b in both], key.type)), words], [*head, "key", "words"])
 
-    return plain.unionByName(texts.mapInArrow(fold, plain.schema))
+    return read.mapInArrow(fold, schema)
 
 
 BLOCK = ["s", "p", "key"]
