@@ -47,11 +47,12 @@ def usable(rows: DataFrame, vec_id: str, vector: str, dimension: int) -> DataFra
 
 
 def representatives(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(rep, v)``, a row per different vector, and ``(id, rep)``, all rows. Copies are found by all their bits. Writes the first."""
-    keyed = vectors.withColumn("h", F.xxhash64("v"))
-    reps = written(keyed.groupBy("h", "v").agg(F.min("id").alias("rep")).select("h", "rep", "v"), "vectors")
-    members = keyed.join(reps, ["h", "v"]).select("id", "rep")
-    return reps.select("rep", "v"), members
+    """``(rep, v)``, a row per different vector, and ``(id, rep)``, all rows. Copies are found by the SHA-256 of their numbers, so that ids are
+    shuffled and not vectors. Writes the second."""
+    keyed = vectors.select("id", F.sha2(F.array_join(F.col("v").cast("array<string>"), ","), 256).alias("h"))
+    members = written(keyed.join(keyed.groupBy("h").agg(F.min("id").alias("rep")), "h").select("id", "rep"), "members")
+    copies = members.where(F.col("id") != F.col("rep")).select(F.col("id").alias("rep"))
+    return vectors.select(F.col("id").alias("rep"), "v").join(copies, "rep", "left_anti"), members
 
 
 PACKED = "block int, cells binary, ids binary, vectors binary"
