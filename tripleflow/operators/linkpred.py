@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from ..storage import written
 
 #: Rows of a block of entities and of one of pairs, digits of a score, and numbers in memory at a time.
-ENTITIES, PAIRS, DIGITS, AT_ONCE = 8192, 2048, 9, 4_000_000
+ENTITIES, PAIRS, DIGITS, AT_ONCE = 8192, 512, 9, 500_000
 
 
 def _block_of(c: str, n: int) -> Column:
@@ -51,8 +51,9 @@ def against_all(asked: DataFrame, entities: DataFrame, known: DataFrame, k: int
     asked, entities = written(asked, "asked"), written(entities, "entities")
     n_q, n_e = (max(1, math.ceil(df.count() / size)) for df, size in ((asked, PAIRS), (entities, ENTITIES)))
     lists = known.select(_block_of("q", n_q).alias("block"), _block_of("id", n_e).alias("eb"), F.struct("q", "id").alias("f")).groupBy("block", "eb").agg(F.collect_set("f").alias("facts"))
-    ents = _packed(entities, "id", n_e, False).toDF("eb", "e_ids", "e_vectors")
-    cells = _packed(asked, "q", n_q, True).crossJoin(ents).join(lists, ["block", "eb"], "left")
+    # written, so that the blocks are as many files and the pairs of blocks as many tasks as there are
+    ents = written(_packed(entities, "id", n_e, False).repartition(n_e, "block"), "entity_blocks").toDF("eb", "e_ids", "e_vectors")
+    cells = written(_packed(asked, "q", n_q, True).repartition(n_q, "block"), "pair_blocks").crossJoin(ents).join(lists, ["block", "eb"], "left")
     cells = cells.select("ids", "vectors", "own", "truth", "e_ids", "e_vectors", F.col("facts.q").alias("fq"), F.col("facts.id").alias("fe"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -67,10 +68,15 @@ def against_all(asked: DataFrame, entities: DataFrame, known: DataFrame, k: int
                 ok = (at_q < len(q)) & (at_e < len(e))
                 ok[ok] = (q[at_q[ok]] == hidden_q[ok]) & (e[at_e[ok]] == hidden_e[ok])
                 at_q, at_e = at_q[ok], at_e[ok]
-                step = max(1, AT_ONCE // max(1, w.size))
+                step = max(1, AT_ONCE // max(1, len(e)))
                 for lo in range(0, len(q), step):
                     hi = min(len(q), lo + step)
-                    score = -np.round(np.sqrt(((v[lo:hi, None, :] - w[None, :, :]) ** 2).sum(axis=2)), DIGITS)
+                    square, gap = np.zeros((hi - lo, len(e))), np.empty((hi - lo, len(e)))
+                    for d in range(v.shape[1]):  # number by number: the sums are those of the truth
+                        np.subtract.outer(v[lo:hi, d], w[:, d], out=gap)
+                        gap *= gap
+                        square += gap
+                    score = -np.round(np.sqrt(square), DIGITS)
                     mine = (at_q >= lo) & (at_q < hi)
                     score[at_q[mine] - lo, at_e[mine]] = -np.inf
                     if not k:
@@ -100,17 +106,23 @@ def rank_filtered(test: DataFrame, known: DataFrame, entities: DataFrame, relati
     """``(s, p, o, rank)``: the rank of the true tail of each distinct test fact among all entities (id, label, v), other known tails left out if
     ``filtered``. An action."""
     facts = written(test.select("s", "p", "o").distinct().withColumn("q", F.monotonically_increasing_id()), "facts")
-    moved = _moved(facts, entities, relations, True)
-    truth = entities.select(F.col("label").alias("o"), F.col("id").alias("own"), F.col("v").alias("__t"))
     d = F.zip_with("v", "__t", lambda a, b: a - b)
     score = -F.round(F.sqrt(F.aggregate(d, F.lit(0.0), lambda s, x: s + x * x)), DIGITS)
-    asked = moved.join(truth, "o").select("q", "v", "own", score.alias("truth"))
-    hidden = facts.limit(0).select("q", F.lit(0).cast("long").alias("id"))
+
+    def scored(rows: DataFrame) -> DataFrame:
+        truth = entities.select(F.col("label").alias("o"), F.col("id").alias("own"), F.col("v").alias("__t"))
+        return _moved(rows, entities, relations, True).join(truth, "o").withColumn("truth", score)
+
+    better = against_all(scored(facts).select("q", "v", "own", "truth"), entities.select("id", "v"), facts.limit(0).select("q", F.lit(0).cast("long").alias("id")))
+    ranked = facts.join(better, "q", "left").withColumn("rank", F.col("better") + 1)
     if filtered:
-        tails = known.select("s", "p", F.col("o").alias("__o")).distinct().join(entities.select(F.col("label").alias("__o"), "id"), "__o")
-        hidden = facts.select("q", "s", "p", "o").join(tails, ["s", "p"]).where(F.col("o") != F.col("__o")).select("q", "id")
-    better = against_all(asked, entities.select("id", "v"), hidden)
-    return facts.join(better, "q", "left").select("s", "p", "o", (F.col("better") + 1).alias("rank"))
+        # the known tails of a pair that are better than one of them are those before it in their own order: sorted once per pair, not met one by one
+        asked = facts.select("s", "p").distinct()
+        tails = scored(known.select("s", "p", "o").join(asked, ["s", "p"], "left_semi").unionByName(facts.select("s", "p", "o")).distinct())
+        order = Window.partitionBy("s", "p").orderBy(F.col("truth").desc(), "own")
+        before = tails.withColumn("__before", F.row_number().over(order) - 1).select("s", "p", "o", "__before")
+        ranked = ranked.join(before, ["s", "p", "o"], "left").withColumn("rank", F.col("rank") - F.col("__before"))
+    return ranked.select("s", "p", "o", "rank")
 
 
 def rank_metrics(ranked: DataFrame, ks: tuple[int, ...] = (1, 3, 10)) -> DataFrame:
