@@ -28,6 +28,11 @@ def test_terms_of():
     assert terms.terms_of("") == set() and terms.terms_of(" \t") == set() and terms.terms_of("Ab " * 50_000) == {"ab"}
 
 
+def test_capitals_of_two_lower_forms(spark):
+    assert terms.terms_of("İzmir DİYARBAKIR I\u0307zmit ΟΔΟΣ οδος") == {"izmir", "diyarbakir", "izmit", "οδοσ", "οδος"}
+    assert counts(spark, [("a", "p", "ΟΔΟΣ İzmir"), ("b", "p", "οδοΣ")]) == {("p", "p", 2, 2), ("o", "οδοσ", 2, 2), ("o", "izmir", 1, 1)}
+
+
 word = st.sampled_from(["alpha", "Beta", "beta.", "x", "1a", "ção", ""])
 
 

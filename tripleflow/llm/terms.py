@@ -44,7 +44,8 @@ def terms_of(text: str) -> set[str]:
     """The terms of a text: NFC, lower case, split at white space, freed at both ends of all but letters and digits, kept if two or
     more letters remain and nothing else."""
     out = set()
-    for piece in unicodedata.normalize("NFC", text).lower().split():
+    # letter by letter, as SQL does: else İ becomes an i and a mark, which is no letter, and a word ends in another sigma than it has within
+    for piece in unicodedata.normalize("NFC", text).replace("\u0130", "i").replace("\u03a3", "\u03c3").lower().split():
         if not piece.isalpha():
             i, j = 0, len(piece)
             while i < j and not piece[i].isalnum():
