@@ -59,6 +59,27 @@ def test_ranks_and_best_tails(spark, monkeypatch, blocks):
         assert [x.s for x in sorted((x for x in heads if (x.p, x.o) == (p, o)), key=lambda x: x.place)] == [x for _, _, x in best]
 
 
+def test_equal_vectors_are_met_once(spark, monkeypatch):
+    """60 entities of 3 vectors, with crowds of ties: right ranks, and a block holds each vector once."""
+    dice = random.Random(5)
+    names = [f"e{i:02d}" for i in range(60)]
+    v = {x: [[0.0, -0.0, 1.0], [0.5, 0.0, 0.0], [1.0, 1.0, 0.0]][i % 3] for i, x in enumerate(names)}
+    t, r = sorted({(dice.choice(names), "p", dice.choice(names)) for _ in range(150)}), {"p": [0.25, 0.0, 0.25]}
+    known, e, rel = frames(spark, t, v, r)
+    ids = {x: i for i, x in enumerate(names)}
+    for most in (linkpred.ROWS, 7):
+        monkeypatch.setattr(linkpred, "ROWS", most)
+        for x in linkpred.rank_filtered(known, known, e, rel).collect():
+            own, rest = score(v, r, x.s, x.p, x.o), [y for y in names if y != x.o and (x.s, x.p, y) not in t]
+            assert x["rank"] == 1 + sum(score(v, r, x.s, x.p, y) > own or (score(v, r, x.s, x.p, y) == own and ids[y] < ids[x.o]) for y in rest)
+        found = linkpred.predict(known, known, e, rel, 25).collect()
+        for s in {s for s, _, _ in t}:
+            best = sorted((-score(v, r, s, "p", y), ids[y], y) for y in names if (s, "p", y) not in t)[:25]
+            assert [y.o for y in sorted((y for y in found if y.s == s), key=lambda y: y.place)] == [y for _, _, y in best]
+    block = linkpred._packed(e.withColumn("block", F.lit(0)), "id", False).first()
+    assert (len(block.ids), len(block.vectors)) == (60 * 8, 3 * 3 * 8)
+
+
 def test_metrics_of_ranks_and_flags(spark):
     ranked = spark.createDataFrame([(1,), (2,), (None,), (20,)], "rank long")
     m = linkpred.rank_metrics(ranked).first()

@@ -1,8 +1,9 @@
 """Link prediction: every entity as the tail (or head) of a pair, exactly, by the distance of translated vectors.
 
 The asked pairs and the entities are packed in blocks of bounded size; each block of pairs meets each block of entities in one task, with the
-known facts of just these two. Of a cell only counts, or the best ``k`` of each pair, come back, so what is shuffled
-doesn't grow with the product of pairs and entities.
+known facts of the pairs. In a block equal vectors are one, with all their ids, so that a distance is computed once for each two that differ. Of a
+cell only counts, or the best ``k`` of each pair, come back, so what is shuffled doesn't grow with the product of pairs and entities. Without equal
+vectors the time grows with that product.
 
 Defined results: scores are -|v - e| rounded to DIGITS digits; equals rank by the smaller id; pairs and entities without a vector take
 no part (a test fact with such a part has a null rank); repeated facts are ranked once each; empty tables give no rows.
@@ -20,74 +21,166 @@ from pyspark.sql import functions as F
 
 from ..storage import written
 
-#: Rows of a block of entities and of one of pairs, digits of a score, and numbers in memory at a time.
+#: Different vectors of a block of entities and of one of pairs, digits of a score, and numbers in memory at a time.
 ENTITIES, PAIRS, DIGITS, AT_ONCE = 8192, 512, 9, 500_000
+#: Numbers of all vectors of a block of entities, and rows of one of pairs, at most about.
+NUMBERS, ROWS = 8_000_000, 65_536
 
 
-def _block_of(c: str, n: int) -> Column:
-    return F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+def _blocks(rows: DataFrame, key: str, distinct: int, most: int) -> tuple[DataFrame, int]:
+    """``rows`` with their ``block``, and the number of blocks: equal vectors are in one block of about ``distinct`` different ones, but those that are more
+    than ``most`` are parted by key."""
+    sizes = rows.groupBy(F.xxhash64("v").alias("h")).count().agg(F.count(F.lit(1)).alias("n"), F.max("count").alias("most"), F.sum("count").alias("rows")).first()
+    parts = max(1, math.ceil((sizes["most"] or 0) / most))
+    n = max(1, math.ceil(min(sizes["n"] * parts, sizes["rows"] or 0) / distinct), math.ceil((sizes["rows"] or 0) / most))
+    return rows.withColumn("block", F.pmod(F.xxhash64("v", F.pmod(F.xxhash64(key), F.lit(parts))), F.lit(n)).cast("int")), n
 
 
-def _packed(rows: DataFrame, key: str, n: int, extra: bool) -> DataFrame:
-    """``(block, ids, vectors[, own, truth])``: rows ``(key, v[, own, truth])`` in ``n`` blocks."""
-    schema = "block int, ids binary, vectors binary" + (", own binary, truth binary" if extra else "")
+def _packed(rows: DataFrame, key: str, extra: bool) -> DataFrame:
+    """``(block, ids, groups, vectors[, own, truth])``: rows ``(block, key, v[, own, truth])`` by block; ``groups`` is the place of a row's vector in ``vectors``."""
+    schema = "block int, ids binary, groups binary, vectors binary" + (", own binary, truth binary" if extra else "")
 
     def pack(t: pa.Table) -> pa.Table:
         t = t.sort_by(key).combine_chunks()
-        parts = [t.column(key).to_numpy(), t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False)]
+        v = t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1) + 0.0  # no negative zeros
+        rows = np.ascontiguousarray(v).view(np.dtype((np.void, v.shape[1] * 8))).ravel() if v.shape[1] else np.zeros(len(v), np.int64)
+        first, group = np.unique(rows, return_index=True, return_inverse=True)[1:]
+        parts = [t.column(key).to_numpy(), group.astype(np.int64), v[first]]
         if extra:
             parts += [t.column("own").fill_null(-1).to_numpy(), t.column("truth").fill_null(0.0).to_numpy()]
-        names = ["block", "ids", "vectors", *(["own", "truth"] if extra else [])]
+        names = ["block", "ids", "groups", "vectors", *(["own", "truth"] if extra else [])]
         return pa.table([t.column("block").slice(0, 1), *(pa.array([p.tobytes()], pa.binary()) for p in parts)], names=names)
 
-    return rows.withColumn("block", _block_of(key, n)).groupBy("block").applyInArrow(pack, schema)
-
-
-def against_all(asked: DataFrame, entities: DataFrame, known: DataFrame, k: int = 0) -> DataFrame:
-    """Each of ``asked`` (q, v, own, truth) against all ``entities`` (id, v), without those ``known`` (q, id).
+    return rows.groupBy("block").applyInArrow(pack, schema)
+
+
+class _Ids:
+    """The ids of a block, in order, the column of scores that is of each, how many a column has, and their places by column."""
+
+    def __init__(self, ids: np.ndarray, group: np.ndarray) -> None:
+        self.ids, self.group, self.size = ids, group, np.bincount(group)
+        self.order = np.lexsort((ids, group))
+        self.start = np.cumsum(self.size) - self.size
+        self.place = group[self.order] * (len(ids) + 1) + self.order
+
+    def below(self, column: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """How many ids of each column are before the place ``at`` of all ids."""
+        return np.searchsorted(self.place, column * (len(self.ids) + 1) + at) - self.start[column]
+
+
+def _counted(score: np.ndarray, of: np.ndarray, truth: np.ndarray, own: np.ndarray, e: _Ids) -> np.ndarray:
+    """Of each question how many ids score above its truth, or equal with a smaller id: ``score`` has a row per vector asked, ``of`` the row of a question."""
+    ids, group, size = e.ids, e.group, e.size.astype(float)
+    below, found = np.searchsorted(ids, own), np.zeros(len(of), np.int64)
+    there = below < len(ids)
+    there[there] = ids[below[there]] == own[there]
+    step = max(1, AT_ONCE // max(1, len(size)))
+    for lo in range(0, len(of), step):
+        mine = score[of[lo : lo + step]]
+        t = truth[lo : lo + step, None]
+        found[lo : lo + step] = (mine > t).astype(float) @ size
+        i, j = np.nonzero(mine == t)
+        found[lo : lo + step] += np.bincount(i, e.below(j, below[lo + i]), len(mine)).astype(np.int64)
+    k = np.nonzero(there)[0]
+    found[k] -= score[of[k], group[below[k]]] > truth[k]  # a question's own answer is no other
+    return found
+
+
+def _best(score: np.ndarray, of: np.ndarray, k: int, hidden: dict[int, set[int]], e: _Ids) -> tuple[list[int], list[int], list[float]]:
+    """Of each question the ``k`` best ids that aren't ``hidden`` for it, equals by id: (question, place of the id, score)."""
+    ids, size, order, start = e.ids, e.size, e.order, e.start
+    asked: list[list[int]] = [[] for _ in range(len(score))]
+    for i, r in enumerate(of.tolist()):
+        asked[r].append(i)
+    out: tuple[list[int], list[int], list[float]] = ([], [], [])
+    for row, questions in zip(score, asked):
+        if not questions:
+            continue
+        need = min(len(ids), k + max(len(hidden.get(i, ())) for i in questions))
+        # columns of the best scores that have enough ids, and all that are equal to the last
+        m = min(len(row), need)
+        near = np.argpartition(-row, m - 1)[:m]
+        near = near[np.argsort(-row[near], kind="stable")]
+        edge = row[near[min(m - 1, int(np.searchsorted(np.cumsum(size[near]), need)))]]
+        near = np.nonzero(row >= edge)[0]
+        near = near[np.argsort(-row[near], kind="stable")]
+        listed: list[int] = []
+        scores: list[float] = []
+        at = 0
+        while at < len(near) and len(listed) < need:
+            s, end = row[near[at]], at
+            while end < len(near) and row[near[end]] == s:
+                end += 1
+            got = [order[start[c] : start[c] + min(size[c], need)] for c in near[at:end]]
+            same = got[0] if len(got) == 1 else np.sort(np.concatenate(got))
+            listed += same[: need - len(listed)].tolist()
+            scores += [float(s)] * (len(listed) - len(scores))
+            at = end
+        for i in questions:
+            without, left = hidden.get(i, ()), k
+            for c, s in zip(listed, scores):
+                if c not in without:
+                    out[0].append(i)
+                    out[1].append(c)
+                    out[2].append(s)
+                    left -= 1
+                    if not left:
+                        break
+    return out
+
+
+def against_all(asked: DataFrame, entities: DataFrame, known: DataFrame | None = None, k: int = 0) -> DataFrame:
+    """Each of ``asked`` (q, v, own, truth) against all ``entities`` (id, v), with ``k`` without those ``known`` (q, id).
 
     With ``k``: ``(q, id, score)``, at least the best ``k`` of every q. Else ``(q, better)``: how many others score above ``truth``, or equal with
     an id below ``own``. An action."""
     asked, entities = written(asked, "asked"), written(entities, "entities")
-    n_q, n_e = (max(1, math.ceil(df.count() / size)) for df, size in ((asked, PAIRS), (entities, ENTITIES)))
-    lists = known.select(_block_of("q", n_q).alias("block"), _block_of("id", n_e).alias("eb"), F.struct("q", "id").alias("f")).groupBy("block", "eb").agg(F.collect_set("f").alias("facts"))
+    width = entities.agg(F.max(F.size("v"))).first()[0] or 1
+    (asked, n_q), (entities, n_e) = _blocks(asked, "q", PAIRS, ROWS), _blocks(entities, "id", ENTITIES, max(ENTITIES, NUMBERS // width))
     # written, so that the blocks are as many files and the pairs of blocks as many tasks as there are
-    ents = written(_packed(entities, "id", n_e, False).repartition(n_e, "block"), "entity_blocks").toDF("eb", "e_ids", "e_vectors")
-    cells = written(_packed(asked, "q", n_q, True).repartition(n_q, "block"), "pair_blocks").crossJoin(ents).join(lists, ["block", "eb"], "left")
-    cells = cells.select("ids", "vectors", "own", "truth", "e_ids", "e_vectors", F.col("facts.q").alias("fq"), F.col("facts.id").alias("fe"))
+    ents = written(_packed(entities, "id", False).repartition(n_e, "block"), "entity_blocks").drop("block").toDF("e_ids", "e_groups", "e_vectors")
+    pairs = _packed(asked, "q", True)
+    if k:
+        lists = known.join(asked.select("q", "block"), "q").groupBy("block").agg(F.collect_set(F.struct("q", "id")).alias("facts"))
+        pairs = pairs.join(lists, "block", "left").withColumns({"fq": F.col("facts.q"), "fe": F.col("facts.id")}).drop("facts")
+    cells = written(pairs.repartition(n_q, "block"), "pair_blocks").drop("block").crossJoin(ents)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            at = {c: i for i, c in enumerate(batch.schema.names)}
             for r in range(batch.num_rows):
-                ids, vectors, own, truth, e_ids, e_vectors = (batch.column(c)[r].as_py() for c in range(6))
-                q, e = np.frombuffer(ids, np.int64), np.frombuffer(e_ids, np.int64)
-                v, w = np.frombuffer(vectors, np.float64).reshape(len(q), -1), np.frombuffer(e_vectors, np.float64).reshape(len(e), -1)
-                own, truth = np.frombuffer(own, np.int64), np.frombuffer(truth, np.float64)
-                hidden_q, hidden_e = (np.array(batch.column(c)[r].as_py() or [], np.int64) for c in (6, 7))
-                at_q, at_e = np.searchsorted(q, hidden_q), np.searchsorted(e, hidden_e)
-                ok = (at_q < len(q)) & (at_e < len(e))
-                ok[ok] = (q[at_q[ok]] == hidden_q[ok]) & (e[at_e[ok]] == hidden_e[ok])
-                at_q, at_e = at_q[ok], at_e[ok]
-                step = max(1, AT_ONCE // max(1, len(e)))
-                for lo in range(0, len(q), step):
-                    hi = min(len(q), lo + step)
-                    square, gap = np.zeros((hi - lo, len(e))), np.empty((hi - lo, len(e)))
+                cell = lambda c: batch.column(at[c])[r].as_py()
+                ints = lambda c: np.frombuffer(cell(c), np.int64)
+                nums = lambda c: np.frombuffer(cell(c), np.float64)
+                q, of, own, truth, e, group = ints("ids"), ints("groups"), ints("own"), nums("truth"), ints("e_ids"), ints("e_groups")
+                v, w = nums("vectors").reshape(of.max() + 1, -1), nums("e_vectors").reshape(group.max() + 1, -1)
+                by_column = _Ids(e, group)
+                hidden: dict[int, set[int]] = {}
+                if k:
+                    hidden_q, hidden_e = (np.array(cell(c) or [], np.int64) for c in ("fq", "fe"))
+                    at_q, at_e = np.searchsorted(q, hidden_q), np.searchsorted(e, hidden_e)
+                    ok = (at_q < len(q)) & (at_e < len(e))
+                    ok[ok] = (q[at_q[ok]] == hidden_q[ok]) & (e[at_e[ok]] == hidden_e[ok])
+                    for i, c in zip(at_q[ok].tolist(), at_e[ok].tolist()):
+                        hidden.setdefault(i, set()).add(c)
+                turn = np.argsort(of, kind="stable")
+                ends = np.concatenate([[0], np.cumsum(np.bincount(of))])
+                step = max(1, AT_ONCE // max(1, len(w)))
+                for lo in range(0, len(v), step):
+                    hi = min(len(v), lo + step)
+                    square, gap = np.zeros((hi - lo, len(w))), np.empty((hi - lo, len(w)))
                     for d in range(v.shape[1]):  # number by number: the sums are those of the truth
                         np.subtract.outer(v[lo:hi, d], w[:, d], out=gap)
                         gap *= gap
                         square += gap
                     score = -np.round(np.sqrt(square), DIGITS)
-                    mine = (at_q >= lo) & (at_q < hi)
-                    score[at_q[mine] - lo, at_e[mine]] = -np.inf
+                    i = turn[ends[lo] : ends[hi]]
                     if not k:
-                        t, o = truth[lo:hi, None], own[lo:hi, None]
-                        better = ((score > t) | ((score == t) & (e[None, :] < o))) & (e[None, :] != o)
-                        yield pa.RecordBatch.from_arrays([pa.array(q[lo:hi]), pa.array(better.sum(axis=1).astype(np.int64))], ["q", "better"])
+                        yield pa.RecordBatch.from_arrays([pa.array(q[i]), pa.array(_counted(score, of[i] - lo, truth[i], own[i], by_column))], ["q", "better"])
                         continue
-                    n = min(k, len(e))
-                    edge = np.partition(score, len(e) - n, axis=1)[:, len(e) - n]
-                    i, j = np.nonzero((score >= edge[:, None]) & np.isfinite(score))  # ties at the edge too
-                    yield pa.RecordBatch.from_arrays([pa.array(q[lo + i]), pa.array(e[j]), pa.array(score[i, j])], ["q", "id", "score"])
+                    near = {j: hidden[x] for j, x in enumerate(i.tolist()) if x in hidden}
+                    found, place, value = _best(score, of[i] - lo, k, near, by_column)
+                    yield pa.RecordBatch.from_arrays([pa.array(q[i][found], pa.int64()), pa.array(e[place], pa.int64()), pa.array(value, pa.float64())], ["q", "id", "score"])
 
     if k:
         return cells.mapInArrow(run, "q long, id long, score double")
@@ -105,6 +198,7 @@ def _moved(rows: DataFrame, entities: DataFrame, relations: DataFrame, tail: boo
 def rank_filtered(test: DataFrame, known: DataFrame, entities: DataFrame, relations: DataFrame, filtered: bool = True) -> DataFrame:
     """``(s, p, o, rank)``: the rank of the true tail of each distinct test fact among all entities (id, label, v), other known tails left out if
     ``filtered``. An action."""
+    entities, relations = written(entities, "entities"), written(relations, "relations")
     facts = written(test.select("s", "p", "o").distinct().withColumn("q", F.monotonically_increasing_id()), "facts")
     d = F.zip_with("v", "__t", lambda a, b: a - b)
     score = -F.round(F.sqrt(F.aggregate(d, F.lit(0.0), lambda s, x: s + x * x)), DIGITS)
@@ -113,7 +207,7 @@ def rank_filtered(test: DataFrame, known: DataFrame, entities: DataFrame, relati
         truth = entities.select(F.col("label").alias("o"), F.col("id").alias("own"), F.col("v").alias("__t"))
         return _moved(rows, entities, relations, True).join(truth, "o").withColumn("truth", score)
 
-    better = against_all(scored(facts).select("q", "v", "own", "truth"), entities.select("id", "v"), facts.limit(0).select("q", F.lit(0).cast("long").alias("id")))
+    better = against_all(scored(facts).select("q", "v", "own", "truth"), entities.select("id", "v"))
     ranked = facts.join(better, "q", "left").withColumn("rank", F.col("better") + 1)
     if filtered:
         # the known tails of a pair that are better than one of them are those before it in their own order: sorted once per pair, not met one by one
@@ -135,6 +229,7 @@ def rank_metrics(ranked: DataFrame, ks: tuple[int, ...] = (1, 3, 10)) -> DataFra
 def predict(pairs: DataFrame, known: DataFrame, entities: DataFrame, relations: DataFrame, k: int = 10, tail: bool = True) -> DataFrame:
     """The ``k`` best tails ``(s, p, o, place, score)`` of pairs (s, p), or heads of pairs (p, o), known facts left out. An action."""
     have, lack = ("s", "o") if tail else ("o", "s")
+    entities, relations = written(entities, "entities"), written(relations, "relations")
     asked = written(pairs.select(have, "p").distinct().withColumn("q", F.monotonically_increasing_id()), "pairs")
     facts = known.select("s", "p", "o").distinct().join(entities.select(F.col("label").alias(lack), "id"), lack)
     hidden = asked.join(facts, [have, "p"]).select("q", "id")
