@@ -78,7 +78,7 @@ _add("rank_metrics", lambda s, d: lp.rank_metrics(_ranked(s, d, True)), _FILTERE
 def _predicted(s: SparkSession, d: str, tail: bool) -> DataFrame:
     t, e, r = _vectors(s, d)
     asked = t.where("split = 'test'").select("s", "p", "o")
-    return lp.predict(asked, t, e, r, 10, tail).withColumn("score", F.round("score", 8))
+    return lp.predict(asked, t, e, r, 10, tail).withColumn("score", F.round(F.col("score") * 1e8) / 1e8)  # the rounding of SQL
 
 
 def _predict_sql(have: str, lack: str, sign: str) -> str:
