@@ -151,6 +151,30 @@ def test_candidates_for_unknown_labels(spark):
     assert near["?"] == [2.0, 1.0] and near["CITY_00013"][1] == pytest.approx(1.0) and near["CITY_00013"][0] < 1.2
 
 
+def test_candidates_are_exact_and_few_pairs_are_compared(spark, monkeypatch, tmp_path):
+    dice = random.Random(8)
+    draw = lambda n: "".join(dice.choice("0123456789ABCDEF") for _ in range(n))
+    known = sorted({*(draw(32) for _ in range(150)), *(f"ENTITY_{dice.randrange(3000)}" for _ in range(60)), "", "A", "ÁB\n", "Z" * 70 + "Y" * 70, "2024-01-02T03:04:05Z", "12", "T\n", "\U0001f600abcd"})
+    unknown = [draw(32), "\t" + known[70], known[60][:24], known[50][:4] + draw(28), draw(28) + known[40][-4:], known[30][2:] + "AB", "ENTITY_77", "ENTITY_12345", "", "A", "13", "ÁB", "Y" * 70 + "Z" * 75, "2024-01-03T03:04:06Z", "T", "\U0001f600abce"]
+    seen = tmp_path / "seen"
+    whole = oov.alike
+
+    def counted(a, b, least=0.0):
+        with open(seen, "a") as f:
+            f.write(".")
+        return whole(a, b, least)
+
+    want = {(a, i + 1): (b, s) for a in unknown for i, (s, b) in enumerate(sorted(((round(oov.alike(a, b), 9), b) for b in known if oov.alike(a, b) > 0.5), reverse=True)[:3])}
+    many = spark.createDataFrame([(b,) for b in known], "label string")
+    for least_parts in (20_000, 7):
+        monkeypatch.setattr(oov, "KNOWN_OF_END", least_parts)
+        got = oov.candidates(spark.createDataFrame([(a,) for a in unknown], "label string"), many).collect()
+        assert {(x.label, x.place): (x.candidate, x.score) for x in got} == want
+    monkeypatch.setattr(oov, "alike", counted)
+    labels = oov._Labels([draw(32) for _ in range(500)])
+    assert labels.best(draw(32), 3, 0.5, 0.5) is not None and (not seen.exists() or len(seen.read_text()) < 50)
+
+
 def test_steps_are_skipped_while_nothing_changes(spark, tmp_path):
     source, folder, ran = f"file://{tmp_path}/in", f"file://{tmp_path}/steps", []
 
