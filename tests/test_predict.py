@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tripleflow.operators import embed, finders, linkpred, metrics, oov, prepare, relational, rules
+from tripleflow import storage
 from tripleflow.sources import files
 
 SPO = "s string, p string, o string"
@@ -114,6 +115,22 @@ def test_training_in_blocks_is_repeatable(spark, monkeypatch):
     assert one == two and len(one) == 21
 
 
+def test_training_leaves_only_the_last_vectors_on_disk(spark, monkeypatch):
+    import glob
+
+    monkeypatch.setattr(embed, "BLOCK", 5)
+    monkeypatch.setattr(embed, "FACTS", 4)
+    monkeypatch.setattr(embed, "TASKS", 3)
+    folder = storage.local_path(storage.shared_dir(spark))
+    count = lambda name: len(glob.glob(f"{folder}/tripleflow/{name}-*"))
+    before = count("blocks"), count("moves")
+    indexed = spark.createDataFrame([(i, 0, (i * 3 + 1) % 23) for i in range(23)], "s_id long, p_id long, o_id long")
+    got = embed.train_transe(indexed, 23, 2, 4, 3)
+    assert (count("blocks"), count("moves")) == (before[0] + 1, before[1])
+    rows = got.collect()
+    assert len(rows) == 25 and {(x.kind, x.id) for x in rows} == {*(("entity", i) for i in range(23)), ("relation", 0), ("relation", 1)}
+
+
 def test_rules_conclude_about_pairs(spark):
     t = spark.createDataFrame([("a", "p", "b"), ("b", "q", "c"), ("b", "q", "d"), ("a", "r", "c"), ("x", "p", "a"), ("a", "p", "b")], SPO)
     rs = rules.parse_rules([("one", "r(X,Y) <= p(X,Z), q(Z,Y)", 0.5), ("two", "r(X,Y) <= p(Y,X)", 0.2), ("const", "r(X,'k') <= p(X,Z)", 0.9), ("self", "r('a',Y) <= p(Y,Z)", 1.0)], fixed=True)
